@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import url_filters
+from tessera.llm import quality_rules, url_filters
 
 
 def queries() -> dict:
-    return {"op10_url_filters": url_filters.query}
+    return {
+        "op8_quality_rules": quality_rules.query,
+        "op10_url_filters": url_filters.query,
+    }
 
 
 def oracle_sql() -> dict:
