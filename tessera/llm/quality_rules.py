@@ -14,7 +14,7 @@ from tessera.llm.shared import WORD, free_name, table
 
 BUCKETS = 1 << 14
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
-THRESHOLD = -0.05
+THRESHOLD = -0.1
 #: Trusted documents that give the target multinomial: at most so many, those with the smallest hash of their id.
 MAX_TRUSTED = 100_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"

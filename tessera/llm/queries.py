@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules, url_filters
+from tessera.llm import license_scans, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
+        "op6_license_scans": license_scans.query,
         "op8_quality_rules": quality_rules.query,
         "op10_url_filters": url_filters.query,
     }
