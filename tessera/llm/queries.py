@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scans, mixing, packing, quality_rules, token_counts, url_filters
+from tessera.llm import license_scans, mixing, packing, quality_rules, simhash, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
         "op4_best_fit_packing": packing.query,
+        "op5_simhash": simhash.query,
         "op6_license_scans": license_scans.query,
         "op7_source_mixing": mixing.query,
         "op8_quality_rules": quality_rules.query,
