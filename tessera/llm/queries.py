@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scans, mixing, packing, quality_rules, simhash, token_counts, url_filters
+from tessera.llm import license_scans, mixing, packing, quality_rules, simhash, token_counts, topk_search, url_filters
 
 
 def queries() -> dict:
     return {
+        "op3_top_k_search": topk_search.query,
         "op4_best_fit_packing": packing.query,
         "op5_simhash": simhash.query,
         "op6_license_scans": license_scans.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_url_filters": url_filters.sql()}
+    return {"op3_top_k_search": topk_search.sql(), "op10_url_filters": url_filters.sql()}
