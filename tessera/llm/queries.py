@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import license_scans, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, topk_search, url_filters
+from tessera.llm import html_extraction, license_scans, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, topk_search, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extraction.query,
         "op2_substring_dedup": substring_dedup.query,
         "op3_top_k_search": topk_search.query,
         "op4_best_fit_packing": packing.query,
