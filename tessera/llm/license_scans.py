@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.license_rules import HINT, LINK, NAME, RULES, TAG, TEXT, regex
-from tessera.llm.shared import ascii_lower, free_name, table
+from tessera.llm.shared import ascii_lower, free_name, table, with_struct
 
 SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
@@ -95,14 +95,8 @@ def scan(docs: DataFrame, text: str = "text", rules: Sequence[tuple[str, int, st
         words, F.regexp_extract_all(low, F.lit(SCAN_WORD), F.lit(0))
     )
     kept = F.transform(surviving(F.col(found)), lambda x: F.struct(x["label"], x["sure"], x["start"], x["stop"]))
-    return (
-        ready.withColumn(found, detections(low, words, rules))
-        .withColumn(
-            "licenses",
-            F.struct(F.size(words).cast("long").alias("n_words"), base_places(words).alias("base"), F.array_sort(kept).alias("detections")),
-        )
-        .drop(low, words, found)
-    )
+    whole = F.struct(F.size(words).cast("long").alias("n_words"), base_places(words).alias("base"), F.array_sort(kept).alias("detections"))
+    return with_struct(ready.withColumn(found, detections(low, words, rules)), "licenses", whole).drop(low, words, found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

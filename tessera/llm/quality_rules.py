@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, free_name, table
+from tessera.llm.shared import WORD, free_name, table, with_struct
 
 BUCKETS = 1 << 14
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
@@ -115,12 +115,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
         (acc, t) -> struct(acc.s + get({ratio}, cast(pmod(t, {buckets}) AS int)) + get({ratio}, cast(pmod(xxhash64(acc.before, t), {buckets}) AS int)) AS s, t AS before),
         acc -> acc.s) / (2 * size({tokens})) END""")
     counts = {"n_words": F.size(words).cast("long"), **base_counts(text), "n_repeat_words": repeat_words(words), "score": score}
-    got = rich.withColumn("quality", F.struct(*[c.alias(n) for n, c in counts.items()]))
+    got = with_struct(rich, "quality", F.struct(*[c.alias(n) for n, c in counts.items()])).drop(words, tokens, ratio)
     failed = "(quality.n_words < 50 OR 100 * quality.n_repeat_words > 50 * quality.n_words)"
-    return got.withColumn(
-        "quality",
-        F.struct("quality.*", F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND quality.score >= {threshold}").alias("kept")),
-    ).drop(words, tokens, ratio)
+    verdict = F.struct("quality.*", F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND quality.score >= {threshold}").alias("kept"))
+    return got.withColumn("quality", verdict)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -60,3 +60,9 @@ def free_name(df: DataFrame, base: str) -> str:
     while base in taken:
         base = f"_{base}"
     return base
+
+
+def with_struct(df: DataFrame, name: str, struct: Column) -> DataFrame:
+    """df with a struct that is computed once a row: filters on it stay above the generator and copy no expression."""
+    own = free_name(df, f"_{name}")
+    return df.select("*", F.explode(F.array(struct)).alias(own)).drop(name).withColumnRenamed(own, name)
