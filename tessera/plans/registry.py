@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+
+from tessera.plans import retrieval_queries, text_queries
+
+MODULES = (text_queries, retrieval_queries)
 
 
 def queries() -> dict:
@@ -24,4 +27,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return retrieval_queries.hybrid_fused(spark, sf_dir)
