@@ -11,10 +11,16 @@ def percentile(p: float, value: str) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
+def exact_sum(value: str | Column) -> Column:
+    """A sum that no order of rows changes: decimals of six places, then a double."""
+    col = F.col(value) if isinstance(value, str) else value
+    return F.sum(col.cast("decimal(18,6)")).cast("double")
+
+
 def latency(log: DataFrame, value: str, *per: str) -> DataFrame:
     """Number, mean, median, 95th percentile and maximum of each group."""
     grouped = log.filter(F.col(value).isNotNull()).groupBy(*per) if per else log.filter(F.col(value).isNotNull()).groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), percentile(0.5, value).alias("p50"), percentile(0.95, value).alias("p95"), F.max(value).alias("largest"))
+    return grouped.agg(F.count(F.lit(1)).alias("n"), (exact_sum(value) / F.count(F.lit(1))).alias("mean"), percentile(0.5, value).alias("p50"), percentile(0.95, value).alias("p95"), F.max(value).alias("largest"))
 
 
 def rates(rows: DataFrame, flags: list[str], *per: str) -> DataFrame:
@@ -30,12 +36,12 @@ def log_groups(log: DataFrame) -> DataFrame:
     """
     by_type = log.groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-        F.max(F.struct("ts", "event_id", "event_type")).alias("latest"), F.sum("value").alias("total"), F.count("value").alias("n_values"),
+        F.max(F.struct("ts", "event_id", "event_type")).alias("latest"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"), F.count("value").alias("n_values"),
     )
     counted = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda e: F.concat_ws("=", e["event_type"], e["n"].cast("string"))), ",")
     whole = by_type.groupBy("user_id").agg(
         F.sum("n").alias("n_events"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"), F.max("latest").alias("latest"),
-        F.round(F.try_divide(F.sum("total"), F.sum("n_values")), 6).alias("mean_value"), counted.alias("by_type"), F.count(F.lit(1)).alias("n_types"),
+        F.try_divide(F.sum("total").cast("double"), F.sum("n_values")).alias("mean_value"), counted.alias("by_type"), F.count(F.lit(1)).alias("n_types"),
     )
     return whole.select("user_id", "n_events", "first_ts", "last_ts", F.col("latest.event_type").alias("latest_type"), "mean_value", "by_type", F.when((F.col("n_events") >= 3) & (F.col("n_types") >= 3), "review").otherwise("keep").alias("decision"))
 
@@ -44,8 +50,8 @@ def cold_warm(log: DataFrame) -> DataFrame:
     """Per user the first value, the mean of the later ones, and the speedup of the means."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     numbered = log.filter("value IS NOT NULL").select("user_id", "value", F.row_number().over(w).alias("i"))
-    agg = numbered.groupBy("user_id").agg(F.max(F.when(F.col("i") == 1, F.col("value"))).alias("cold"), F.round(F.avg(F.when(F.col("i") > 1, F.col("value"))), 6).alias("warm"))
-    return agg.filter("warm IS NOT NULL").select("user_id", "cold", "warm", F.round(F.try_divide("cold", "warm"), 6).alias("speedup"))
+    agg = numbered.groupBy("user_id").agg(F.max(F.when(F.col("i") == 1, F.col("value"))).alias("cold"), F.try_divide(exact_sum(F.when(F.col("i") > 1, F.col("value"))), F.count(F.when(F.col("i") > 1, 1))).alias("warm"))
+    return agg.filter("warm IS NOT NULL").select("user_id", "cold", "warm", F.try_divide("cold", "warm").alias("speedup"))
 
 
 def with_zeros(counts: DataFrame, domain: DataFrame, key: str, value: str) -> DataFrame:
