@@ -67,7 +67,8 @@ def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     dims = max([queries.shape[1], *(b[1].shape[1] for b in blocks)])
     queries = _widened(queries, dims)
     matrices = [_widened(b[1], dims) for b in blocks]
-    kind = np.result_type(*[_fitting(queries, m) for m in matrices]) if blocks else np.float64
+    kinds = {_fitting(queries, m) for m in matrices}
+    kind = next(k for k in (object, np.float64, np.float32) if k in kinds)
     q = queries.astype(kind)
     high = _widened(np.stack([np.pad(b[2], (0, dims - len(b[2]))) for b in blocks]), dims).astype(kind)
     low = _widened(np.stack([np.pad(b[3], (0, dims - len(b[3]))) for b in blocks]), dims).astype(kind)
