@@ -15,6 +15,8 @@ from tessera.llm.shared import WORD, free_name, table, with_struct
 BUCKETS = 1 << 14
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
 THRESHOLD = -0.1
+#: Occurrences that either side of a ratio has beforehand.
+PRIOR = 5.0
 #: Trusted documents that give the target multinomial: at most so many, those with the smallest hash of their id.
 MAX_TRUSTED = 100_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"
@@ -69,7 +71,10 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row ``ratio``: the log ratio of each bucket, both multinomials with one added to every bucket.
+    """One row ``ratio``: the log ratio of each bucket.
+
+    Raw counts are scaled to the number of trusted n-grams, and both sides get PRIOR added to every bucket: what is rare
+    in the corpus weighs little whether the trusted texts have it or not.
 
     The counts cover all documents, and all of the trusted among them. trusted has at most MAX_TRUSTED ids, and
     the result has one row of ``buckets`` numbers: both stay small at any size of the corpus.
@@ -90,8 +95,7 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFram
     ).select(
         F.expr(f"""transform(array_sort(concat(map_entries(by),
               transform(array_except(sequence(0, {buckets} - 1), map_keys(by)), b -> struct(b AS key, struct(0L AS raw, 0L AS target) AS value)))),
-            e -> CASE WHEN n_target > 0
-              THEN ln((e.value.target + 1D) / (n_target + {buckets})) - ln((e.value.raw + 1D) / (n_raw + {buckets})) ELSE 0D END)""").alias("ratio")
+            e -> ln((e.value.target + {PRIOR}D) / (e.value.raw * (n_target / n_raw) + {PRIOR}D)))""").alias("ratio")
     )
 
 
