@@ -95,13 +95,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cells = unit_rows(keyed.filter("text IS NOT NULL").select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text"), min_words)
     cells = written(cells, "units")
     # A digest on its own is no repeat; the documents' order is needed for the others only.
-    firsts = cells.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
+    # Digests are tables of their own, so that both sides of each join are plain exchanges and a hot digest is split.
+    firsts = written(cells.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2"), "repeat-digests")
     repeated = written(cells.join(firsts, ["d1", "d2"]), "repeats")
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
     owners = repeated.select("k1", "k2").distinct()
     known = written(owners.join(ids, ["k1", "k2"]).distinct(), "repeat-owners")
     ranked = repeated.join(known, ["k1", "k2"]).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "start"))
-    first = ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first"))
+    first = written(ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first")), "repeat-firsts")
     later = ranked.join(first, ["d1", "d2"]).filter("rank != first").select("k1", "k2", F.struct("start", "stop", F.col("first.doc_id").alias("doc_id")).alias("span"))
     spans = later.distinct().groupBy(F.col("k1").alias(f"{k1}_"), F.col("k2").alias(f"{k2}_")).agg(F.sort_array(F.collect_list("span")).alias("_spans"))
     joined = keyed.join(spans, (F.col(k1) == F.col(f"{k1}_")) & (F.col(k2) == F.col(f"{k2}_")), "left")

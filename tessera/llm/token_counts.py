@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import free_name, shared_path, table
+from tessera.llm.shared import free_name, shared_path, table, written
 from tessera.llm.tokenizing import PieceEncoder
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -69,10 +69,9 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, text: str = "text"
     """
     version = fill_cache(docs, cache, tokenizer, text)
     digest = free_name(docs, "digest")
-    counts = (
-        docs.sparkSession.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-        .dropDuplicates(["digest"]).select(F.col("digest").alias(digest), F.col("n_tokens").alias(out))
-    )
+    stored = docs.sparkSession.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).dropDuplicates(["digest"])
+    # A table of its own, so that both sides of the join are plain exchanges and a hot digest is split.
+    counts = written(stored.select(F.col("digest").alias(digest), F.col("n_tokens").alias(out)), "token-counts")
     keyed = docs.drop(out) if text != out else docs
     return keyed.withColumn(digest, F.unhex(F.sha2(content(F.col(text)), 256))).join(counts, digest, "left").drop(digest)
 

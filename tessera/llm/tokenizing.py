@@ -21,7 +21,7 @@ KEEPS_SPACE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 DROPS_SPACE = re.compile(rf"[^{SPACE}]+")
 #: Python's split() also splits here.
 PYTHON_ONLY_SPACE = re.compile(r"[\x1c-\x1f]")
-MEMO_PIECES, MEMO_CHARS, BATCH = 700_000, 48, 20_000
+MEMO_PIECES, MEMO_CHARS, BATCH, GROUP_CHARS = 700_000, 48, 20_000, 2_000_000
 
 
 class PieceEncoder:
@@ -67,6 +67,19 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, one behind the other."""
+        out: list[bytes] = []
+        group: list[str] = []
+        chars = 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                out += self._group(group)
+                group, chars = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """The same for texts whose pieces are held at once."""
         out: list = [None] * len(texts)
         split: dict[int, list[str]] = {}
         for k, text in enumerate(texts):
