@@ -148,8 +148,9 @@ def place(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, se
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' columns, a row for each placement, a partition for each run of shards, shuffled within each shard."""
     placed = place(docs, **options)
-    rows = placed.select(*docs.columns, F.explode("mix.placements").alias("_spot"))
-    return rows.repartition("_spot.shard").sortWithinPartitions("_spot.shard", "_spot.place").drop("_spot")
+    spot = free_name(docs, "spot")
+    rows = placed.select(*docs.columns, F.explode("mix.placements").alias(spot))
+    return rows.repartition(f"{spot}.shard").sortWithinPartitions(f"{spot}.shard", f"{spot}.place").drop(spot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units of min_words words stays as it is. Rows equal in doc_id and text are one document and get equal results. An
     empty table stays empty. Columns of docs stay; one named ``dedup`` is replaced.
     """
-    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    k1, k2, own = (free_name(docs, n) for n in ("k1", "k2", "spans"))
+    of1, of2 = free_name(docs, "of1"), free_name(docs, "of2")
     keyed = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit(1), "text", "doc_id")})
     cells = unit_rows(keyed.filter("text IS NOT NULL").select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text"), min_words)
     cells = written(cells, "units")
@@ -104,12 +105,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranked = repeated.join(known, ["k1", "k2"]).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "start"))
     first = written(ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first")), "repeat-firsts")
     later = ranked.join(first, ["d1", "d2"]).filter("rank != first").select("k1", "k2", F.struct("start", "stop", F.col("first.doc_id").alias("doc_id")).alias("span"))
-    spans = later.distinct().groupBy(F.col("k1").alias(f"{k1}_"), F.col("k2").alias(f"{k2}_")).agg(F.sort_array(F.collect_list("span")).alias("_spans"))
-    joined = keyed.join(spans, (F.col(k1) == F.col(f"{k1}_")) & (F.col(k2) == F.col(f"{k2}_")), "left")
+    spans = later.distinct().groupBy(F.col("k1").alias(of1), F.col("k2").alias(of2)).agg(F.sort_array(F.collect_list("span")).alias(own))
+    joined = keyed.join(spans, (F.col(k1) == F.col(of1)) & (F.col(k2) == F.col(of2)), "left")
     none = F.array().cast("array<struct<start:int,stop:int,doc_id:bigint>>")
-    removed = F.coalesce("_spans", none)
+    removed = F.coalesce(own, none)
     out = F.struct(_without(F.col("text"), removed).alias("text"), removed.alias("removed"))
-    return joined.withColumn("dedup", out).drop(k1, k2, f"{k1}_", f"{k2}_", "_spans")
+    return joined.withColumn("dedup", out).drop(k1, k2, of1, of2, own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
