@@ -21,6 +21,7 @@ from tessera.llm.shared import UPPER, free_name, table, written
 SHINGLE, BITS, SEED = 3, 3, 42
 #: A half (or part of it) under which more fingerprints are stored is divided further.
 CROWD = 64
+ROWS_A_FILE = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -113,20 +114,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable along the edges (a, b), for every node with an edge.
 
     Large-star and small-star rounds: each node's larger, then smaller neighbours are hung on the smallest, until the
-    edges are stars. Edges are written to the shared folder each round.
+    edges are stars. Edges are written to the shared folder each round, in files of about ROWS_A_FILE rows: rounds never
+    add edges, so the number before a round says how many files it needs.
     """
-    edges, before = written(edges.filter("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "stars"), None
+    edges = written(edges.filter("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "stars")
+    rows, before = edges.count(), None
     while True:
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").selectExpr("v AS u", "m AS v")
-        edges = written(small.unionByName(least.selectExpr("u", "m AS v")).filter("u != v").distinct(), "stars")
+        hung = small.unionByName(least.selectExpr("u", "m AS v")).filter("u != v").distinct()
+        edges = written(hung.coalesce(max(1, -(-rows // ROWS_A_FILE))), "stars")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.selectExpr("u AS node", "v AS root")
-        before = now
+        rows, before = now[0], now
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text") -> DataFrame:
