@@ -360,7 +360,7 @@ def test_token_counts_and_cache(spark, rows, docs, empty):
 def test_pieces_give_the_library_ids(name):
     path = public_tokenizers.path(name)
     rng, tok = random.Random(6), Tokenizer.from_file(path)
-    signs = list("aB  \n\t's.,-<|1½é中あ한") + ["\x1c", "\x85", "\u00a0", "\u200b", "\u3000", "\u0301", "Σ", "İ", "\ufb01", "😀", "<|endoftext|>"]
+    signs = list("aB  \n\t's.,-<|1½é中あ한") + ["\x1c", "\x85", "\u00a0", "\u200b", "\u3000", "\u0301", "Σ", "İ", "\ufb01", "😀", "<|endoftext|>", "\ue000", "\uefab", "\x0b"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", "a  ", "x  <|endoftext|>  y", "w" * 5000]
     want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert PieceEncoder.of(path).ids(texts) == want
