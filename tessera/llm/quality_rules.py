@@ -22,13 +22,13 @@ MAX_TRUSTED = 100_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """The counts of the base rules that need no array of words."""
+def base_counts(text: Column, words: str) -> dict[str, Column]:
+    """The counts of the base rules but repeats; words is the column of the text's words."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD))
     return {
-        "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.concat_ws("", words)).cast("long"),
+        "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": F.aggregate(F.array(lines), F.lit(0).cast("long"), lambda _, x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
     }
 
@@ -60,8 +60,12 @@ def grams(tokens: str, buckets: int) -> Column:
       transform({tokens}, (t, i) -> cast(pmod(xxhash64(get({tokens}, i - 1), t), {buckets}) AS int)))""")
 
 
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    return F.transform(tokens_of(text), lambda t: F.xxhash64(t))
 
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
@@ -80,11 +84,16 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFram
     the result has one row of ``buckets`` numbers: both stay small at any size of the corpus.
     Without trusted documents every log ratio is zero.
     """
-    marked = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens")).join(
+    marked = docs.select("doc_id", tokens_of(F.col("text")).alias("token")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     )
+    # Each token beside the one before it; hashing the rows stays in generated code, which lambdas over arrays leave.
+    pairs = marked.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "token"))
+    rows = pairs.select("good", F.explode(F.arrays_zip("token", "before")).alias("p")).filter("p.token IS NOT NULL")
+    hashed = rows.select("good", F.xxhash64("p.token").alias("t"), F.when(F.col("p.before").isNotNull(), F.xxhash64("p.before")).alias("b"))
+    both = F.array(*[F.pmod(h, F.lit(buckets)).cast("int") for h in (F.col("t"), F.xxhash64("b", "t"))])
     counts = (
-        marked.select("good", F.explode(grams("tokens", buckets)).alias("bucket"))
+        hashed.select("good", F.explode(both).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     )
@@ -115,10 +124,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
         {words: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), tokens: token_hashes(text), ratio: model.scalar()}
     )
     score = F.expr(f"""CASE WHEN size({tokens}) = 0 THEN 0D ELSE
-      aggregate({tokens}, struct(0D AS s, cast(null AS bigint) AS before),
-        (acc, t) -> struct(acc.s + get({ratio}, cast(pmod(t, {buckets}) AS int)) + get({ratio}, cast(pmod(xxhash64(acc.before, t), {buckets}) AS int)) AS s, t AS before),
-        acc -> acc.s) / (2 * size({tokens})) END""")
-    counts = {"n_words": F.size(words).cast("long"), **base_counts(text), "n_repeat_words": repeat_words(words), "score": score}
+      aggregate(transform({tokens}, (t, i) -> get({ratio}, cast(pmod(t, {buckets}) AS int)) + get({ratio}, cast(pmod(xxhash64(get({tokens}, i - 1), t), {buckets}) AS int))),
+        0D, (s, x) -> s + x) / (2 * size({tokens})) END""")
+    counts = {"n_words": F.size(words).cast("long"), **base_counts(text, words), "n_repeat_words": repeat_words(words), "score": score}
     got = with_struct(rich, "quality", F.struct(*[c.alias(n) for n, c in counts.items()])).drop(words, tokens, ratio)
     failed = "(quality.n_words < 50 OR 100 * quality.n_repeat_words > 50 * quality.n_words)"
     verdict = F.struct("quality.*", F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND quality.score >= {threshold}").alias("kept"))
