@@ -41,6 +41,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pd.DataFrame({"doc_id": own.iloc[doc].to_numpy(), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+        encoder.forget()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Ids above 2^53 and null ids keep exact values: they travel as pandas' nullable integers.

@@ -53,6 +53,8 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text")
         count = _counter(tokenizer)
         for batch in batches:
             yield pd.DataFrame({"digest": batch["digest"], "tokenizer": version, "n_tokens": count(batch["content"].tolist())})
+        if not tokenizer.endswith(".model"):
+            PieceEncoder.of(tokenizer).forget()
 
     one_each = docs.select(content(F.col(text)).alias("content")).select(F.unhex(F.sha2("content", 256)).alias("digest"), "content").dropDuplicates(["digest"])
     one_each.join(stored, "digest", "left_anti").mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)

@@ -26,7 +26,7 @@ KEEPS_SPACE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Stands between words that are encoded together. Its first byte begins U+E000 to U+EFFF only.
 MARK, MARKED = "\ue000", re.compile("[\ue000-\uefff]")
-MEMO_PIECES, MEMO_CHARS, BATCH, GROUP_CHARS, TOGETHER = 800_000, 48, 20_000, 4_000_000, 400
+MEMO_PIECES, MEMO_CHARS, BATCH, GROUP_CHARS, TOGETHER = 400_000, 48, 20_000, 4_000_000, 400
 
 
 def _body_and_signs(word: str) -> tuple[str, str]:
@@ -79,6 +79,10 @@ class PieceEncoder:
             return "drops space"
         return None
 
+    def forget(self) -> None:
+        """Empties the memo: at a task's end, so that an idle worker holds no memory."""
+        self.memo = {}
+
     def _encoded(self, texts: list[str]) -> Iterable[bytes]:
         for at in range(0, len(texts), BATCH):
             for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False):
