@@ -40,7 +40,7 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def string_array(col):
     """A JSON array of strings; what is no JSON is split at ``>``; null is empty."""
-    parts = F.filter(F.transform(F.split(col, ">"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(col, ">"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.from_json(col, T.ArrayType(T.StringType()), {"mode": "PERMISSIVE"}), parts, F.array().cast("array<string>"))
 
 
