@@ -14,6 +14,9 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 EDGE_BEFORE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 EDGE_AFTER = r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
+#: Any text, over line ends and of any length, to the first of the alternatives behind it; what follows says which it must be.
+UP_TO = r"(?>[\s\S]+?(?:"
+
 TAG, TEXT, NAME, LINK, HINT = 90, 80, 70, 60, 10
 
 #: Written by hand: one line a rule. The order breaks ties between equal priorities.
@@ -23,7 +26,7 @@ RULES = (
     ("mit", TEXT, "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("isc", TEXT, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", TEXT, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", TEXT, "endorse", "neither the name of .{1,120}? may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", TEXT, "endorse", f"neither the name of {UP_TO} may be used to endorse or promote products derived from this software|neither the name of))(?<=software)"),
     ("bsd-4-clause", TEXT, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("apache-2.0", TEXT, "apache", "licensed under the apache license version 2 0 the license"),
     ("apache-2.0", TEXT, "license", "you may not use this file except in compliance with the license"),
@@ -73,8 +76,8 @@ RULES = (
     ("gpl-1.0", NAME, "general", "general public licen[cs]e (?:version |v )?1(?: 0)?"),
     ("gpl-2.0", NAME, "general", "general public licen[cs]e (?:version |v )?2(?: 0)?"),
     ("gpl-3.0", NAME, "general", "general public licen[cs]e (?:version |v )?3(?: 0)?"),
-    ("gpl-2.0", NAME, "gpl|gpl2|gplv2", "gpl ?(?:version |v ?)?2(?: 0)?"),
-    ("gpl-3.0", NAME, "gpl|gpl3|gplv3", "gpl ?(?:version |v ?)?3(?: 0)?"),
+    ("gpl-2.0", NAME, "gpl|gpl2|gplv|gplv2|gplversion", "gpl ?(?:version |v ?)?2(?: 0)?"),
+    ("gpl-3.0", NAME, "gpl|gpl3|gplv|gplv3|gplversion", "gpl ?(?:version |v ?)?3(?: 0)?"),
     ("gpl-2.0-or-later", NAME, "later", "general public licen[cs]e (?:version |v )?2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?"),
     ("gpl-3.0-or-later", NAME, "later", "general public licen[cs]e (?:version |v )?3(?: 0)? or (?:any )?later(?: version)?"),
     ("lgpl", NAME, "lesser", "(?:gnu )?lesser general public licen[cs]e"),
@@ -82,18 +85,18 @@ RULES = (
     ("lgpl-3.0", NAME, "lesser", "(?:gnu )?lesser general public licen[cs]e (?:version |v )?3(?: 0)?"),
     ("lgpl-2.0", NAME, "library", "(?:gnu )?library general public licen[cs]e"),
     ("lgpl", NAME, "lgpl", "licen[cs]ed under (?:the )?lgpl"),
-    ("lgpl-2.1", NAME, "lgpl|lgpl2|lgplv2", "lgpl ?v? ?2 1"),
-    ("lgpl-3.0", NAME, "lgpl|lgpl3|lgplv3", "lgpl ?v? ?3(?: 0)?"),
+    ("lgpl-2.1", NAME, "lgpl|lgpl2|lgplv|lgplv2", "lgpl ?v? ?2 1"),
+    ("lgpl-3.0", NAME, "lgpl|lgpl3|lgplv|lgplv3", "lgpl ?v? ?3(?: 0)?"),
     ("agpl", NAME, "affero", "(?:gnu )?affero general public licen[cs]e"),
     ("agpl-3.0", NAME, "affero", "(?:gnu )?affero general public licen[cs]e (?:version |v )?3(?: 0)?"),
-    ("agpl-3.0", NAME, "agpl|agpl3|agplv3", "agpl ?v? ?3(?: 0)?"),
+    ("agpl-3.0", NAME, "agpl|agpl3|agplv|agplv3", "agpl ?v? ?3(?: 0)?"),
     ("gfdl", NAME, "documentation", "(?:gnu )?free documentation licen[cs]e"),
     ("gfdl-1.2", NAME, "documentation", "(?:gnu )?free documentation licen[cs]e (?:version |v )?1 2"),
     ("gfdl-1.3", NAME, "documentation", "(?:gnu )?free documentation licen[cs]e (?:version |v )?1 3"),
     ("mpl", NAME, "mozilla", "mozilla public licen[cs]e"),
     ("mpl-1.1", NAME, "mozilla", "mozilla public licen[cs]e (?:version |v )?1 1"),
     ("mpl-2.0", NAME, "mozilla", "mozilla public licen[cs]e (?:version |v )?2(?: 0)?"),
-    ("mpl-2.0", NAME, "mpl|mpl2|mplv2", "mpl ?v? ?2(?: 0)?"),
+    ("mpl-2.0", NAME, "mpl|mpl2|mplv|mplv2", "mpl ?v? ?2(?: 0)?"),
     ("epl", NAME, "eclipse", "eclipse public licen[cs]e"),
     ("epl-1.0", NAME, "eclipse", "eclipse public licen[cs]e (?:version |v )?1 0"),
     ("epl-2.0", NAME, "eclipse", "eclipse public licen[cs]e (?:version |v )?2 0"),
@@ -141,14 +144,14 @@ RULES = (
     ("elastic-2.0", NAME, "elastic", "elastic licen[cs]e"),
     ("commons-clause", NAME, "commons", "commons clause"),
     ("polyform", NAME, "polyform", "polyform (?:noncommercial|small business|strict|shield|perimeter|free trial) licen[cs]e"),
-    ("rail", NAME, "rail", "(?:open )?(?:responsible ai|rail) licen[cs]e"),
+    ("rail", NAME, "rail|responsible", "(?:open )?(?:responsible ai|rail) licen[cs]e"),
     ("odbl", NAME, "database", "open (?:data commons )?(?:open )?database licen[cs]e"),
     ("odc-by", NAME, "attribution", "open data commons attribution licen[cs]e"),
     ("pddl", NAME, "dedication", "public domain dedication and licen[cs]e"),
     ("ogl", NAME, "government", "open government licen[cs]e"),
     ("etalab", NAME, "etalab|ouverte", "(?:etalab|licence ouverte)(?: 2 0)?"),
     ("dl-de", NAME, "datenlizenz", "datenlizenz deutschland"),
-    ("game-ogl", NAME, "gaming", "open gam(?:e|ing) licen[cs]e"),
+    ("game-ogl", NAME, "game|gaming", "open gam(?:e|ing) licen[cs]e"),
     ("free-art", NAME, "art", "free art licen[cs]e|licence art libre"),
     ("public-domain", NAME, "domain", "(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
     ("public-domain", NAME, "dominio", "dominio p[úu]blico"),
