@@ -6,8 +6,9 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Elements whose content is no text of the page.
-DROPPED = frozenset("script style noscript template title svg math iframe object textarea select option audio video canvas".split())
+#: Elements whose content is no text of the page; what stands in the first ones is never markup.
+RAW = frozenset("script style title textarea".split())
+DROPPED = RAW | frozenset("noscript template svg iframe object select datalist audio video canvas annotation annotation-xml".split())
 #: Elements that begin and end blocks.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -32,6 +33,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What ends an option, whose own end tag may be left out.
+_OPTION_END = re.compile(rf"</?(?:option|optgroup|datalist|select|{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "in_main", "boiler_tag", "boiler_name")
@@ -66,6 +69,21 @@ def _colour(tag: str, rest: str, inside_main: bool) -> tuple[bool, bool, bool]:
     return main and not boiler_name, boiler_tag, boiler_name
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where it begins to where its end tag ends, for every element of the tag that is closed; comments and raw text hold none."""
+    out, opened = {}, []
+    raw = rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])|\Z)"
+    for m in re.finditer(rf"{raw}|<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", page, re.I | re.S):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            if not m[0].endswith("/>"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order: references decoded, white space collapsed, no block empty."""
     out: list[Block] = []
@@ -75,6 +93,7 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     in_link = 0
     at, size = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def text(raw: str) -> None:
         if raw:
@@ -115,9 +134,19 @@ def blocks(page: str) -> list[Block]:
                         pass
                     in_link = 0
         elif tag in DROPPED:
-            if not token["rest"].rstrip().endswith("/"):
+            if token["rest"].rstrip().endswith("/"):
+                continue
+            if tag not in RAW:
+                # one that is not closed loses its tag only
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = ends[tag].get(token.start(), at)
+            else:
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = page.find(">", close.start()) + 1 or size if close else size
+        elif tag == "option":
+            stop = _OPTION_END.search(page, at)
+            at = stop.start() if stop else size
         elif tag == "a":
             in_link = 1
         elif tag == "br":
