@@ -1,6 +1,6 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-Every text is cut into units: lines, and within a line the stretches up to a sentence end. The digests of the
+Every text is cut into units: lines, and within a line the stretches up to a sentence end, and runs of short lines. The digests of the
 normalised units are grouped over the whole corpus; the first occurrence by document and place stays, all others are
 removed, and their offsets in the original text are kept.
 """
@@ -18,32 +18,62 @@ from pyspark.sql import types as T
 
 from tessera.llm.shared import free_name, table, written
 
-#: A unit of fewer words is never removed, and ends no stretch: the next sentence goes with it.
+#: A unit of fewer words is never removed, and ends no stretch: the next sentence goes with it, and the next short line.
 MIN_WORDS = 6
 _LINE = re.compile(r"[^\n]*\n?")
 _SENTENCE_END = re.compile(r"(?<![.!?])[.!?]++[\"'”’)\]]*+\s++|(?<![。！？])[。！？]++[\"'”’)」』]*+\s*+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 UNITS = "k1 long, k2 long, start int, stop int, d1 long, d2 long"
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, stop, normalised) of the units of at least min_words words; they tile their lines.
+    """(start, stop, normalised) of the units of at least min_words words, by start.
 
     A unit ends with its line, or behind the first sentence end at which it has min_words words; where it begins
-    depends on the sentences just before alone, so a passage has the same units wherever it stands.
+    depends on the sentences just before alone, so a passage has the same units wherever it stands. Of lines that are
+    shorter, each begins a unit that takes as many of the short lines right behind it as it needs; those overlap.
+    Two characters of a script without spaces count as a word.
     """
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+
+    def size(part: str) -> int:
+        return len(part.split()) + (len(_UNSPACED.findall(part)) // 2 if unspaced else 0)
+
+    short: list[tuple[int, int, int]] = []
     for line in _LINE.finditer(text):
         at, end = line.span()
         if at == end:
             continue
+        n = size(text[at:end])
+        if n < min_words:
+            if n:
+                short.append((at, end, n))
+            continue
+        yield from _windows(text, short, min_words)
+        short = []
         begin = last = at
         for mark in _SENTENCE_END.finditer(text, at, end):
-            long_enough, last = len(text[last : mark.end()].split()) >= min_words, mark.end()
+            long_enough, last = size(text[last : mark.end()]) >= min_words, mark.end()
             if long_enough:
                 yield begin, last, " ".join(text[begin:last].split()).lower()
                 begin = last
-        whole = text[begin:end].split()
-        if len(whole) >= min_words:
-            yield begin, end, " ".join(whole).lower()
+        if size(text[begin:end]) >= min_words:
+            yield begin, end, " ".join(text[begin:end].split()).lower()
+    yield from _windows(text, short, min_words)
+
+
+def _windows(text: str, short: list[tuple[int, int, int]], min_words: int) -> Iterator[tuple[int, int, str]]:
+    """From each of the lines (start, stop, words) on, the fewest with min_words words together."""
+    k = held = 0
+    for start, _, n in short:
+        while held < min_words and k < len(short):
+            held += short[k][2]
+            k += 1
+        if held < min_words:
+            return
+        stop = short[k - 1][1]
+        yield start, stop, " ".join(text[start:stop].split()).lower()
+        held -= n
 
 
 def unit_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -67,7 +97,7 @@ def unit_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """text without the sorted spans."""
+    """text without the sorted spans, which may overlap."""
 
     def cut(t: str | None, own) -> str | None:
         if t is None or own is None or not len(own):
@@ -84,7 +114,7 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with struct ``dedup``: text (what stays), removed array<struct<start, stop, doc_id>>.
 
-    Offsets are code points of the original text; doc_id says where the first occurrence is. Occurrences are ranked
+    Offsets are code points of the original text, spans of short lines may overlap; doc_id says where the first occurrence is. Occurrences are ranked
     by doc_id, documents without one last, then by a hash of the row, then by place; so repeats inside one
     document go too. Units are compared lower-cased with white space collapsed. A null text stays null, one without
     units of min_words words stays as it is. Rows equal in doc_id and text are one document and get equal results. An
@@ -116,5 +146,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document with what stays of its text and what was removed from it."""
     docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("dedup.removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    removed = F.coalesce((F.length("text") - F.length("dedup.text")).cast("long"), F.lit(0).cast("long"))
     return docs.select("doc_id", F.col("dedup.text").alias("text"), "dedup.removed", F.size("dedup.removed").alias("n_removed"), removed.alias("chars_removed"))
