@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import UPPER, free_name, table, written
+from tessera.llm.shared import UPPER, erase, free_name, table, written
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: A half (or part of it) under which more fingerprints are stored is divided further.
@@ -38,7 +38,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     last = max(1, len(parts) - shingle + 1)
     stops = ends[min(shingle, len(parts)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), stops.tolist(), strict=True)], dtype="<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), stops.tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -110,26 +114,33 @@ def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     return found.distinct()
 
 
+def _files(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable along the edges (a, b), for every node with an edge.
 
     Large-star and small-star rounds: each node's larger, then smaller neighbours are hung on the smallest, until the
-    edges are stars. Edges are written to the shared folder each round, in files of about ROWS_A_FILE rows: rounds never
-    add edges, so the number before a round says how many files it needs.
+    edges are stars. Each step is written to the shared folder, in files of about ROWS_A_FILE rows: rounds never
+    add edges, so the number before a round says how many files it needs. The least neighbours are tables of their own,
+    so that both sides of each join are plain exchanges and a hub's edges are split over tasks.
     """
     edges = written(edges.filter("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "stars")
     rows, before = edges.count(), None
     while True:
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").selectExpr("v AS u", "m AS v")
-        hung = small.unionByName(least.selectExpr("u", "m AS v")).filter("u != v").distinct()
-        edges = written(hung.coalesce(max(1, -(-rows // ROWS_A_FILE))), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        least = written(_files(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), rows), "star-roots")
+        large = written(_files(both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct(), rows), "stars")
+        lower = written(_files(large.groupBy("u").agg(F.min("v").alias("m")), rows), "star-roots")
+        small = large.join(lower, "u").filter("v != m").selectExpr("v AS u", "m AS v")
+        hung = written(_files(small.unionByName(lower.selectExpr("u", "m AS v")).filter("u != v").distinct(), rows), "stars")
+        erase(edges, least, large, lower)
+        edges, now = hung, hung.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return edges.selectExpr("u AS node", "v AS root")
+            out = edges.selectExpr("u AS node", "v AS root")
+            out.path_written = edges.path_written
+            return out
         rows, before = now[0], now
 
 
@@ -138,15 +149,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, t
 
     component_id is the smallest doc_id reachable over links, its own included; null where no document of the group
     has an id. A null text, an empty one and one of white space have fingerprint zero and are linked like any other.
-    Repeated rows get equal results; an empty table stays empty. Columns of docs stay; one named ``near`` is replaced.
+    A very long text is read whole, its hashes are counted in runs. Repeated rows get equal results and ties need no
+    order, as only the smallest id counts; an empty table stays empty. Columns of docs stay; one named ``near`` is replaced.
     """
     mark = free_name(docs, "mark")
     marked = written(docs.withColumn(mark, fingerprints(docs, text, shingle)).drop(text, "near"), "simhash-marks")
     marks = marked.groupBy(F.col(mark).alias("f")).agg(F.min("doc_id").alias("least_id"))
     stars = components(links(marks.select("f"), bits))
-    rooted = marks.join(stars, F.col("f") == F.col("node"), "left").select("f", "least_id", F.coalesce("root", "f").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    near = rooted.join(ids, "root").select(F.struct(F.col("f").alias("fingerprint"), "component_id").alias("near"))
+    rooted = written(marks.join(stars, F.col("f") == F.col("node"), "left").select("f", "least_id", F.coalesce("root", "f").alias("root")), "simhash-roots")
+    # Tables of their own, so that both sides of the joins are plain exchanges and a hot root or fingerprint is split.
+    ids = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-ids")
+    near = written(rooted.join(ids, "root").select(F.struct(F.col("f").alias("fingerprint"), "component_id").alias("near")), "simhash-near")
+    erase(stars, rooted, ids)
     return marked.join(near, F.col(mark) == F.col("near.fingerprint")).drop(mark)
 
 
