@@ -18,14 +18,17 @@ BLOCKS = frozenset(
 #: Elements that stay open until closed and colour what they hold.
 HOLDERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 BOILER_TAGS = frozenset("aside button dialog fieldset footer form menu nav".split())
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|affiliate|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|cookies?|copyright|"
-    r"disclaimer|disqus|footer|footnav|gdpr|header|head-?bar|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|"
-    r"pager|pagination|popup|popular|promo\w*|recommended|recommendations|related|replies|respond|rss|search|share|sharing|sidebar|side-?bar|"
-    r"signup|sign-?up|site-?info|skip-?link|social|sponsor\w*|subscribe|subscription|tags?|teaser|toolbar|top-?bar|trending|warning-?bar|widget\w*)"
-    r"(?:$|[\s_-])"
+#: What a class or id calls a part of the page that is no text of the article, alone or between the words below; and what it calls the article.
+_BOILER_WORDS = (
+    "ad|ads|adv|advert|adverts|advertisement|advertising|adsense|affiliate|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|cookies?|copyright|"
+    "disclaimer|disqus|footer|footnav|gdpr|header|headbar|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|"
+    "pager|pagination|popup|popular|promo|promoted|promotion|recommended|recommendations|related|replies|respond|rss|search|share|sharing|sidebar|side-bar|"
+    "signup|sign-up|siteinfo|site-info|skiplink|skip-link|social|sponsor|sponsored|subscribe|subscription|teaser|toolbar|topbar|top-bar|trending|warningbar|widget"
 )
-MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|article-?body|body-?text|content|entry|entry-?content|main|main-?content|post|post-?body|story|story-?body|text)(?:$|[\s_-])")
+_AROUND_BEFORE = r"(?:(?:site|page|main|global|top|bottom|left|right|article|post|entry|blog|cookie|user|reader|sub|primary|secondary|js)[_-])*+"
+_AROUND_AFTER = r"(?:[_-](?:container|area|wrap|wrapper|box|list|section|bar|block|links?|form|inner|content|notice|banner|signup|menu|items?|widgets?|title|body|panel|modal|popup|text|buttons?|consent|posts?|articles?|nav|top|bottom|left|right|[0-9]+))*+"
+BOILER_NAME = re.compile(rf"(?<!\S){_AROUND_BEFORE}(?:{_BOILER_WORDS}){_AROUND_AFTER}(?!\S)|(?<!\S)(?:{_BOILER_WORDS}){_AROUND_AFTER}(?!\S)")
+MAIN_NAME = re.compile(r"(?<!\S)(?:article|article-?body|body-?text|content|entry|entry-?content|main|main-?content|post|post-?body|story|story-?body|text)(?!\S)")
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -35,9 +38,15 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: What ends an option, whose own end tag may be left out.
 _OPTION_END = re.compile(rf"</?(?:option|optgroup|datalist|select|{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+_TAG_BEGIN = re.compile(r"</?[a-zA-Z]")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "in_main", "boiler_tag", "boiler_name")
+#: A notice of rights at the beginning of a block, or in it.
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+
+#: Its own words and share of linked words, those of the blocks beside it, and what its elements say of it.
+FLAT = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "rights")
+FEATURES = (*FLAT, "in_main", "boiler_tag", "boiler_name")
 
 
 @dataclass
@@ -160,7 +169,9 @@ def blocks(page: str) -> list[Block]:
                 own = ("", (False, False, False))
             else:
                 own = (tag, colour)
-    text(page[at:])
+    # a tag that the page's end cuts off is no text
+    cut = _TAG_BEGIN.search(page, max(at, page.rfind(">") + 1))
+    text(page[at : cut.start() if cut else size])
     end()
     return out
 
@@ -172,6 +183,6 @@ def features(page: list[Block]) -> list[list[float]]:
         before, after = (page[k - 1] if k else None), (page[k + 1] if k + 1 < len(page) else None)
         out.append([
             b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0,
-            float(b.heading), float(b.item), float(b.in_main), float(b.boiler_tag), float(b.boiler_name),
+            b.heading, b.item, bool(_RIGHTS.search(b.text)), b.in_main, b.boiler_tag, b.boiler_name,
         ])
     return [[float(x) for x in row] for row in out]

@@ -11,26 +11,26 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.html_blocks import blocks, features
+from tessera.llm.html_blocks import FEATURES, blocks, features
 from tessera.llm.html_labels import PAGES
 from tessera.llm.shared import table
 
-DEPTH = 8
+DEPTH = 10
 
 
-def labelled(spark: SparkSession, pages=PAGES) -> DataFrame:
-    """(features, label): a row for each block of the labelled pages."""
-    rows = []
+def labelled(spark: SparkSession, pages=PAGES, names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(features, label): a row for each block of the labelled pages; features that are not in names are zero."""
+    rows, used = [], np.array([n in names for n in FEATURES])
     for page, letters in pages:
         found = blocks(page)
         if len(found) != len(letters):
             raise ValueError(f"{len(found)} blocks, {len(letters)} labels: {page[:80]}")
-        rows += [(Vectors.dense(x), float(y == "y")) for x, y in zip(features(found), letters, strict=True)]
+        rows += [(Vectors.dense(np.where(used, x, 0.0)), float(y == "y")) for x, y in zip(features(found), letters, strict=True)]
     return spark.createDataFrame(rows, ["features", "label"])
 
 
-def train(spark: SparkSession, pages=PAGES, depth: int = DEPTH) -> DecisionTreeClassificationModel:
-    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=7).fit(labelled(spark, pages).coalesce(1))
+def train(spark: SparkSession, pages=PAGES, depth: int = DEPTH, names: tuple[str, ...] = FEATURES) -> DecisionTreeClassificationModel:
+    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=7).fit(labelled(spark, pages, names).coalesce(1))
 
 
 class Tree:

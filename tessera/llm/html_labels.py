@@ -1,10 +1,13 @@
 """The small labelled table that the block classifier learns from: pages and one letter a block.
 
-``y`` is main text, ``n`` everything else. ``~12`` stands for a sentence of twelve words.
+``y`` is main text, ``n`` everything else. ``~12`` stands for sentences of twelve words. The first pages are written by
+hand. The others are built from layouts without telling elements or classes, where only a block's words and links and
+those of the blocks beside it say what it is.
 """
 
 from __future__ import annotations
 
+import random
 import re
 
 _WORDS = (
@@ -45,12 +48,28 @@ _PAGES = (
     # table of data in the text
     ("<article><h2>~4</h2><table><tr><td>Year</td><td>Height</td></tr><tr><td>1990</td><td>4 metres</td></tr></table><p>~24</p></article><div class=advertisement><p>~25</p></div>", "yyyyyy n"),
     # very short paragraphs and linked ones inside the text
-    ("<article><h1>~2</h1><p>~60</p><p>~1</p><p>~70</p><p>~2</p><p>~3</p></article><p>~2</p>", "yyyyyy n"),
-    ("<main><p>~80</p><p>~2</p><p>~1</p><p>~55</p></main><p>~1</p>", "yyyy n"),
-    ("<div class=content><p>~64</p><p>~1</p><p>~2</p></div><div><p>~2</p></div>", "yyy n"),
+    ("<article><h1>~2</h1><p>~60</p><p>~1</p><p>~70</p><p>~2</p><p>~3</p></article><p>&copy; ~2</p>", "yyyyyy n"),
+    ("<main><p>~80</p><p>~2</p><p>~1</p><p>~55</p></main><p>Copyright ~1</p>", "yyyy n"),
+    ("<div class=content><p>~64</p><p>~1</p><p>~2</p></div><div><p>All rights reserved</p></div>", "yyy n"),
     ("<article><p>~30</p><p><a href=1>~8</a></p><p>~20</p><ul><li><a href=2>~5</a></li><li><a href=3>~2</a></li></ul></article><p><a href=4>~5</a></p>", "yyyyy n"),
     ("<article><p>~120</p><p>~1</p><p>~1</p><p>~90</p><p>~1</p></article>", "yyyyy"),
-    ("<p>~70</p><p>~2</p><p>~66</p><p>~1</p>", "ynyn"),
+    ("<p>~70</p><p>~2</p><p>~66</p><p>~1</p>", "yyyy"),
+    ("<p>~40</p><p>~1</p><p>~40</p>", "yyy"),
+    # what an article says of rights, and links in it, are its text
+    ("<article><h1>~4</h1><p>~33</p><p>All rights reserved.</p><p>~21</p></article><footer>All rights reserved</footer>", "yyyy n"),
+    ("<article><p>~25</p><p>All rights reserved.</p></article><p>Copyright ~2</p>", "yy n"),
+    ("<main><p>Copyright ~9</p><p>~1</p></main><div class=ad>~9</div>", "yy n"),
+    ("<article><p>&copy; ~4</p><p>All rights reserved. ~3</p><p>~60</p></article>", "yyy"),
+    ("<article><h1><a href=1>~5</a></h1><p><a href=2>~3</a></p><p><a href=3>~2</a></p><p>~9</p></article>", "yyyy"),
+    ("<main><ul><li><a href=1>~3</a></li><li><a href=2>~2</a></li><li><a href=3>~6</a></li></ul></main>", "yyy"),
+    ("<article><p>~3</p><p><a href=1>~1</a></p></article><p><a href=1>~1</a></p>", "yy n"),
+    ("<article><p>~2</p></article>", "y"),
+    ("<article><p>~12</p><p><a href=1>~3</a></p><p>~2</p></article>", "yyy"),
+    ("<main><p><a href=1>~3</a> ~2</p><p>~1</p></main>", "yy"),
+    ("<article><p>~20</p><p>All rights reserved.</p></article>", "yy"),
+    ("<article><h2>~2</h2><p>&copy; ~3</p></article>", "yy"),
+    ("<nav><p>~30</p></nav><article><p>~1</p></article><aside><p>~30</p></aside>", "n y n"),
+    ("<article><section class=social-history><h2>~3</h2><p>~40</p></section><p>~22</p></article>", "yyy"),
     # link lists and long link texts outside the text
     ("<div class=menu><p><a href=1>~12</a></p><p><a href=2>~15</a></p></div><div class=story><p>~31 <a href=3>~3</a> ~10</p><p><a href=4>~6</a> ~21</p></div><ul><li><a href=5>~9</a></li><li><a href=6>~11</a></li></ul>", "nn yy nn"),
     ("<p><a href=1>~4</a></p><p><a href=1>~8</a></p><p>~42</p><p>~38</p><p><a href=1>~5</a></p><p><a href=1>~3</a></p>", "nn yy nn"),
@@ -65,4 +84,81 @@ _PAGES = (
     ("<dialog><p>~33</p></dialog><main><article><p>~10</p></article></main><aside class=sidebar><p>~64</p></aside>", "n y n"),
 )
 
-PAGES = tuple((_filled(page), labels.replace(" ", "")) for page, labels in _PAGES)
+
+
+#: Ways to write three kinds of blocks: lists of links, running text, what follows it.
+_MENUS = (
+    lambda links: "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>",
+    lambda links: "".join(f"<p>{x}</p>" for x in links),
+    lambda links: "<table><tr>" + "".join(f"<td>{x}</td>" for x in links) + "</tr></table>",
+    lambda links: "".join(f"<div>{x}</div>" for x in links),
+)
+_TEXTS = (("p", "h2"), ("div", "h3"), ("p", "p"), ("li", "h2"))
+
+
+def _page(rng: random.Random, menu: int, text: int, end: int) -> tuple[str, str]:
+    """A page without telling elements or classes, and its labels."""
+    link = lambda n: f"<a href=x>~{n}</a>"
+    links = lambda: [link(rng.randint(1, 4)) for _ in range(rng.randint(3, 7))]
+    body, heading = _TEXTS[text]
+    html, letters = "", ""
+
+    def add(part: str, label: str) -> None:
+        nonlocal html, letters
+        html, letters = html + part, letters + label
+
+    def menu_with_title(of: list[str]) -> None:
+        add(f"<p>~{rng.randint(1, 3)}</p>" + _MENUS[menu](of), "n" * (1 + len(of)))
+
+    top = links()
+    menu_with_title(top) if rng.random() < 0.5 else add(_MENUS[menu](top), "n" * len(top))
+    if rng.random() < 0.3:  # a word between two menus
+        add(f"<p>~{rng.randint(1, 3)}</p>", "n")
+        more = links()
+        add(_MENUS[menu](more), "n" * len(more))
+    add(f"<h1>~{rng.randint(3, 9)}</h1>", "y")
+    for k in range(rng.randint(3, 7)):
+        if k and rng.random() < 0.3:
+            add(f"<{heading}>~{rng.randint(1, 5)}</{heading}>", "y")
+        add(f"<{body}>~{rng.randint(18, 90)}</{body}>", "y")
+        if rng.random() < 0.35:  # short paragraphs and linked ones between long ones
+            add(f"<{body}>~{rng.randint(1, 5)}</{body}>" if rng.random() < 0.7 else f"<{body}>{link(rng.randint(3, 7))}</{body}>", "y")
+            add(f"<{body}>~{rng.randint(20, 60)}</{body}>", "y")
+    if rng.random() < 0.3:
+        add(f"<{body}>~{rng.randint(1, 5)}</{body}>", "y")
+    if end == 1:
+        add(f"<p>&copy; {rng.randint(1999, 2024)} ~{rng.randint(1, 9)}</p>", "n")
+    elif end == 2:
+        menu_with_title(links())
+        add(f"<p>~{rng.randint(1, 4)}</p>", "n")
+    elif end == 3:
+        of = links()
+        add(_MENUS[menu](of), "n" * len(of))
+        add(f"<p>Copyright ~{rng.randint(1, 6)}, all rights reserved</p>", "n")
+    return html, letters
+
+
+def plain_pages(seed: int) -> list[tuple[str, str]]:
+    """A page of each layout: 4 kinds of menus, 4 of texts, 4 of ends."""
+    rng = random.Random(seed)
+    return [_page(rng, menu, text, end) for menu in range(4) for text in range(4) for end in range(4)]
+
+
+def article_pages(seed: int, number: int = 16) -> list[tuple[str, str]]:
+    """Pages whose article is told by its element: any block in it is text, with links or without, short or long."""
+    rng, out = random.Random(seed), []
+    for k in range(number):
+        tag, html, letters = ("article", "main")[k % 2], "", ""
+        for _ in range(rng.randint(1, 9)):
+            n, m = rng.choice((0, 0, 2, 20, 60)), rng.choice((0, 1, 2, 5))
+            html += f"<p>{f'~{n}' if n else ''} {f'<a href=x>~{m}</a>' if m or not n else ''}</p>".replace("~0", "~1")
+            letters += "y"
+        out.append((f"<nav><p><a href=x>~{rng.randint(1, 3)}</a></p></nav><{tag}>{html}</{tag}><footer><p>~{rng.randint(1, 30)}</p></footer>", f"n{letters}n"))
+    return out
+
+
+HAND = tuple((_filled(page), labels.replace(" ", "")) for page, labels in _PAGES)
+#: Those written by hand weigh three times as much.
+PAGES = (*HAND, *HAND, *HAND, *((_filled(page), labels) for page, labels in (*plain_pages(1), *article_pages(1))))
+#: As many that are not trained on.
+HELD_OUT = tuple((_filled(page), labels) for page, labels in (*plain_pages(2), *article_pages(2)))
