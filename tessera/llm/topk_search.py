@@ -2,13 +2,15 @@
 
 Candidates, in ranges of their ids, form blocks. A block keeps its forward index, a matrix of quantised components,
 and the largest and smallest value of each component. For a query the block's bound is the sum over components of the
-larger of the two products. A query visits blocks by falling bound and scores them whole, until the next bound is
-under its kth score. The index is a table in the shared folder; runs of queries and runs of blocks meet in cells of
-bounded size, so neither side is ever held whole.
+larger of the two products. A first pass scores a few seed blocks and gives each query a score that k rows reach. The
+second sends a query only to groups of blocks whose bound reaches that score; there it visits blocks by falling
+bound and scores them whole, until the next bound is under its kth score. The index is a table in the shared folder;
+runs of queries and groups of blocks meet in cells of bounded size, so neither side is ever held whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table, written
+from tessera.llm.shared import partitions, table, written
 
 K, SCALE = 20, 64
-BLOCK_ROWS, CELL_BLOCKS, CELL_QUERIES = 1024, 16, 1024
+BLOCK_ROWS, CELL_BLOCKS, CELL_QUERIES, SEED_BLOCKS = 1024, 64, 4096, 8
+#: Up to so many (counted) groups of blocks have their bounds shipped to the queries, 16 bytes a component; beyond, blocks are pruned in their cells alone.
+SHIPPED_GROUPS = 20_000
 LONG = (-(2**63), 2**63 - 1)
-BLOCK_SCHEMA = "block long, ids binary, dims int, matrix binary, high array<long>, low array<long>"
+BLOCK_SCHEMA = "block long, ids binary, dims int, kind string, matrix binary, high array<long>, low array<long>"
+QUERY_SCHEMA = "query_id long, dims int, kind string, q binary, floor long"
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -37,19 +42,36 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), block_rows):
                 part = batch.iloc[at : at + block_rows]
-                dims = max(map(len, part["v"]))
-                matrix = np.zeros((len(part), dims), dtype=np.int64)
-                for k, v in enumerate(part["v"]):
-                    matrix[k, : len(v)] = v
+                matrix = _stacked(part["v"])
                 yield pd.DataFrame({
-                    "block": [int(part["vec_id"].iloc[0])], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "dims": [dims],
-                    "matrix": [matrix.tobytes()], "high": [matrix.max(axis=0)], "low": [matrix.min(axis=0)],
+                    "block": [int(part["vec_id"].iloc[0])], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "dims": [matrix.shape[1]], "kind": [matrix.dtype.str],
+                    "matrix": [matrix.tobytes()], "high": [matrix.max(axis=0).astype(np.int64)], "low": [matrix.min(axis=0).astype(np.int64)],
                 })
 
     ranged = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v")
     return written(ranged.mapInPandas(blocks, BLOCK_SCHEMA), "topk-index")
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows, filled with zeros, in the smallest integer type that holds them."""
+    out = np.zeros((len(vectors), max(map(len, vectors))), dtype=np.int64)
+    for k, v in enumerate(vectors):
+        out[k, : len(v)] = v
+    most = max(int(out.max()), -int(out.min()) - 1) if out.size else 0
+    return out.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+
+
+def _unpacked(data: bytes, kind: str, dims: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=kind).reshape(rows, dims).astype(np.int64)
+
+
+def _read_blocks(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    return [
+        (np.frombuffer(b.ids, dtype=np.int64), _unpacked(b.matrix, b.kind, b.dims, len(b.ids) // 8), np.asarray(b.high, dtype=np.int64), np.asarray(b.low, dtype=np.int64))
+        for b in rows.itertuples()
+    ]
+
+
 def _fitting(*sides: np.ndarray):
     """The cheapest number type in which inner products of the sides' rows are exact."""
     most = max(1, sides[0].shape[-1])
@@ -62,8 +84,13 @@ def _widened(matrix: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(matrix, ((0, 0), (0, dims - matrix.shape[1])))
 
 
-def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int):
-    """(query number, vec_id, score) of each query's k best in blocks of (ids, matrix, high, low); visited, the blocks scored."""
+def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Query by block: no row of the block scores more."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None):
+    """(query number, vec_id, score) of each query's k best of at least its floor in blocks of (ids, matrix, high, low); visited, the blocks scored."""
     dims = max([queries.shape[1], *(b[1].shape[1] for b in blocks)])
     queries = _widened(queries, dims)
     matrices = [_widened(b[1], dims) for b in blocks]
@@ -72,11 +99,13 @@ def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     q = queries.astype(kind)
     high = _widened(np.stack([np.pad(b[2], (0, dims - len(b[2]))) for b in blocks]), dims).astype(kind)
     low = _widened(np.stack([np.pad(b[3], (0, dims - len(b[3]))) for b in blocks]), dims).astype(kind)
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound = _bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     row, vec, score = (np.zeros(0, dtype=np.int64) for _ in range(3))
     score = score.astype(object if kind is object else np.int64)
     live, kth, visited = np.arange(len(ids)), np.full(len(ids), -np.inf, dtype=object if kind is object else float), 0
+    if floor is not None:
+        kth[:] = [-np.inf if x == LONG[0] else int(x) if kind is object else float(x) for x in floor]
     for turn in range(len(blocks)):
         at = order[live, turn]
         go = bound[live, at] >= kth[live]  # an equal bound may still hold an equal score with a smaller id
@@ -94,7 +123,7 @@ def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
                 keep = np.ones(scores.shape, dtype=bool)
             else:
                 keep = scores >= np.partition(np.where(own, LONG[0], scores), n - k, axis=1)[:, n - k : n - k + 1]
-            keep &= ~own
+            keep &= ~own & (scores >= kth[asked, None])
             r, c = np.nonzero(keep)
             row, vec, score = np.concatenate((row, asked[r])), np.concatenate((vec, blocks[b][0][c])), np.concatenate((score, scores[r, c]))
         best = np.lexsort((vec, -score, row))
@@ -105,6 +134,60 @@ def search_cell(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndar
     return row, vec, score, visited
 
 
+def _asked(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """QUERY_SCHEMA: the queries with ``floor``, the kth best score that the seed blocks give; the smallest long where they give fewer than k."""
+    seeds = index.orderBy(F.xxhash64("block", "ids"), "block").limit(SEED_BLOCKS).toPandas()
+    shipped = queries.sparkSession.sparkContext.broadcast(seeds)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = _read_blocks(shipped.value)
+        for batch in batches:
+            for at in range(0, len(batch), CELL_QUERIES):
+                part = batch.iloc[at : at + CELL_QUERIES]
+                ids, q = part["query_id"].to_numpy(np.int64), _stacked(part["q"])
+                floor = np.full(len(ids), LONG[0])
+                if blocks:
+                    row, _, got, _ = search_cell(ids, q.astype(np.int64), blocks, k)
+                    number = np.bincount(row, minlength=len(ids))
+                    last = np.cumsum(number)[number >= k] - 1
+                    floor[number >= k] = np.clip(got[last], *LONG).astype(np.int64)
+                yield pd.DataFrame({"query_id": ids, "dims": q.shape[1], "kind": q.dtype.str, "q": [x.tobytes() for x in q], "floor": floor})
+
+    return written(queries.mapInPandas(score, QUERY_SCHEMA), "topk-queries")
+
+
+def _sent(asked: DataFrame, index: DataFrame, groups: int, group: Column) -> DataFrame:
+    """asked with g: a row for each group of blocks that a query must see."""
+    if groups > SHIPPED_GROUPS:
+        return asked.select("*", F.explode(F.expr(f"sequence(0L, {groups}L - 1)")).alias("g"))
+    ends = index.select(group.alias("g"), F.posexplode(F.arrays_zip("high", "low"))).groupBy("g", "pos").agg(F.max("col.high").alias("high"), F.min("col.low").alias("low"))
+    widths = index.groupBy(group.alias("g")).agg(F.min("dims").alias("least"))
+    ends = ends.join(widths, "g").groupBy("g", "least").agg(F.sort_array(F.collect_list(F.struct("pos", "high", "low"))).alias("ends")).toPandas()
+    shipped = asked.sparkSession.sparkContext.broadcast(ends)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shipped.value
+        dims = max([0, *(len(e) for e in own["ends"])])
+        high, low = np.zeros((len(own), dims)), np.zeros((len(own), dims))
+        for n, (least, e) in enumerate(zip(own["least"], own["ends"], strict=True)):
+            # components that a narrower block lacks are zeros there
+            high[n, : len(e)] = [x["high"] if i < least else max(0, x["high"]) for i, x in enumerate(e)]
+            low[n, : len(e)] = [x["low"] if i < least else min(0, x["low"]) for i, x in enumerate(e)]
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                q = np.zeros((len(part), max(dims, int(part["dims"].max()))))
+                for n, r in enumerate(part.itertuples()):
+                    q[n, : r.dims] = np.frombuffer(r.q, dtype=r.kind)
+                # rounding of large numbers never cuts: bounds are taken a little wider
+                bound = _bounds(q, _widened(high, q.shape[1]), _widened(low, q.shape[1]))
+                slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(_widened(high, q.shape[1])), np.abs(_widened(low, q.shape[1]))).T) + 1
+                n, g = np.nonzero(bound + slack >= part["floor"].to_numpy(np.float64)[:, None])
+                yield part.iloc[n].assign(g=own["g"].to_numpy(np.int64)[g])
+
+    return asked.mapInPandas(send, f"{QUERY_SCHEMA}, g long")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of largest integer inner product, ties to smaller vec_id.
 
@@ -115,24 +198,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLO
     """
     rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v").distinct()
     index = build_index(rows, block_rows)
-    asked = written(queries.filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "topk-queries")
-    groups, chunks = max(1, -(-index.count() // CELL_BLOCKS)), max(1, -(-asked.count() // CELL_QUERIES))
-    left = index.select("*", F.pmod(F.xxhash64("block", "ids"), F.lit(groups)).alias("g"), F.explode(F.expr(f"sequence(0L, {chunks}L - 1)")).alias("c"))
-    right = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("c"), F.explode(F.expr(f"sequence(0L, {groups}L - 1)")).alias("g"))
+    wanted = queries.filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    asked = _asked(wanted, index, k)
+    # cells of at most CELL_BLOCKS by CELL_QUERIES, and enough of them for all cores
+    n_blocks, n_queries, side = index.count(), asked.count(), 2 * math.isqrt(partitions(rows.sparkSession))
+    groups = max(1, -(-n_blocks // CELL_BLOCKS), min(n_blocks, side))
+    chunks = max(1, -(-n_queries // CELL_QUERIES), min(-(-n_queries // 64), side))
+    group = F.pmod(F.xxhash64("block", "ids"), F.lit(groups))
+    left = index.select("*", group.alias("g"), F.explode(F.expr(f"sequence(0L, {chunks}L - 1)")).alias("c"))
+    right = _sent(asked, index, groups, group).withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
 
     def cell(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         if some.empty or own.empty:
             return out
         ids = own["query_id"].to_numpy(np.int64)
-        q = np.zeros((len(own), max(map(len, own["q"]))), dtype=np.int64)
-        for n, v in enumerate(own["q"]):
-            q[n, : len(v)] = v
-        blocks = [
-            (np.frombuffer(b.ids, dtype=np.int64), np.frombuffer(b.matrix, dtype=np.int64).reshape(-1, b.dims) if b.dims else np.zeros((len(b.ids) // 8, 0), dtype=np.int64), np.asarray(b.high, dtype=np.int64), np.asarray(b.low, dtype=np.int64))
-            for b in some.itertuples()
-        ]
-        row, vec, score, _ = search_cell(ids, q, blocks, k)
+        q = np.zeros((len(own), int(own["dims"].max())), dtype=np.int64)
+        for n, r in enumerate(own.itertuples()):
+            q[n, : r.dims] = np.frombuffer(r.q, dtype=r.kind)
+        row, vec, score, _ = search_cell(ids, q, _read_blocks(some), k, own["floor"].to_numpy(np.int64))
         return pd.DataFrame({"query_id": ids[row], "vec_id": vec, "score": np.clip(score, *LONG).astype(np.int64)})
 
     best = left.groupBy("c", "g").cogroup(right.groupBy("c", "g")).applyInPandas(cell, "query_id long, vec_id long, score long")
