@@ -17,23 +17,37 @@ from tessera.llm.shared import ascii_lower, free_name, table, with_struct
 SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+#: The best first; a rule's rank is below -1000 times the next one's.
+PRIORITIES = (TAG, TEXT, NAME, LINK, HINT)
 #: How sure a detection of each kind is.
 SURE = {TAG: 1.0, TEXT: 0.95, NAME: 0.9, LINK: 0.85, HINT: 0.3}
 
 
+#: Powers of two up to the largest array.
+_STEPS = f"array({', '.join(str(1 << k) for k in range(31))})"
+
+
+def _running(values: str, join: str) -> str:
+    """The running results of ``join`` over an array: v is a value and w the one of some places before, or null.
+
+    Each round joins in what stands twice as far back, so n values take n log n steps and no array is grown.
+    """
+    step = join.replace("{w}", "get(s, i - p)")
+    return f"aggregate(array({values}), {values}, (none, a) -> aggregate(filter({_STEPS}, p -> p < size(a)), a, (s, p) -> transform(s, (v, i) -> {step})))"
+
+
 def _intervals(text: str, pattern: str) -> str:
     """array<struct<start, stop>>: all matches, as offsets in code points.
 
-    The texts between the matches come from split and the matches from regexp_extract_all; a match begins behind
-    all texts and matches before it.
+    The texts between the matches come from split and the matches from regexp_extract_all; a match ends behind
+    all texts and matches up to it.
     """
+    sums = _running("transform(x, m -> m.b + m.m)", "v + coalesce({w}, 0)")
     return f"""aggregate(
-      zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (b, m) -> struct(length(b) AS b, length(m) AS m)),
-      struct(0 AS at, cast(array() AS array<struct<start:int,stop:int>>) AS found),
-      (acc, x) -> struct(
-        acc.at + x.b + coalesce(x.m, 0) AS at,
-        CASE WHEN x.m IS NULL THEN acc.found ELSE concat(acc.found, array(struct(acc.at + x.b AS start, acc.at + x.b + x.m AS stop))) END AS found),
-      acc -> acc.found)"""
+      array(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (b, m) -> struct(length(b) AS b, length(m) AS m))),
+      cast(array() AS array<struct<start:int,stop:int>>),
+      (none, pairs) -> aggregate(array(filter(pairs, y -> y.m IS NOT NULL)), none, (none2, x) ->
+        CASE WHEN size(x) = 0 THEN none2 ELSE zip_with(x, {sums}, (y, at) -> struct(at - y.m AS start, at AS stop)) END))"""
 
 
 def detections(low: str, words: str, rules: Sequence[tuple[str, int, str, str]] = RULES) -> Column:
@@ -56,17 +70,18 @@ def detections(low: str, words: str, rules: Sequence[tuple[str, int, str, str]]
           x -> struct(r.rank AS rank, r.rule AS rule, r.label AS label, r.sure AS sure, x.start AS start, x.stop AS stop))) END))""")
 
 
-def surviving(found: Column) -> Column:
-    """Without each detection that lies inside another of better rank, or inside a longer one of equal priority."""
+def surviving(found: str) -> Column:
+    """Without each detection that lies inside another of better rank, or inside a longer one of equal priority.
 
-    def inside(x: Column, y: Column) -> Column:
-        covers = (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
-        longer = (y["stop"] - y["start"]) > (x["stop"] - x["start"])
-        same = F.floor(y["rank"] / 1000) == F.floor(x["rank"] / 1000)
-        better = F.when(same & longer, True).when(same & ~longer & (y["start"] == x["start"]) & (y["stop"] == x["stop"]), y["rank"] < x["rank"])
-        return covers & F.coalesce(better, ~same & (y["rank"] < x["rank"]))
-
-    return F.aggregate(F.array(found), found, lambda _, all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: inside(x, y))))
+    By start, then the longest, then the best rank, everything that can hold an interval stands before it: it goes if
+    something of its priority or a better one has reached its stop. n detections take n log n steps.
+    """
+    reached = {p: _running(f"transform(o, x -> IF(x.rank < {-p * 1000 + 1000}, x.stop, -1))", "greatest(v, {w})") for p in PRIORITIES}
+    before = " ".join(f"WHEN x.rank < {-p * 1000 + 1000} THEN get(held.p{p}, i - 1)" for p in PRIORITIES)
+    levels = ", ".join(f"{r} AS p{p}" for p, r in reached.items())
+    order = f"transform(array_sort(transform({found}, x -> struct(x.start AS start, -x.stop AS back, x.rank AS rank, x AS x))), y -> y.x)"
+    return F.expr(f"""CASE WHEN size({found}) < 2 THEN {found} ELSE aggregate(array({order}), {found}, (none, o) ->
+      aggregate(array(struct({levels})), o, (none2, held) -> filter(o, (x, i) -> NOT coalesce(CASE {before} END >= x.stop, false)))) END""")
 
 
 def base_places(words: str) -> Column:
@@ -88,13 +103,14 @@ def scan(docs: DataFrame, text: str = "text", rules: Sequence[tuple[str, int, st
 
     Offsets of detections are code points of the whole text, ``at`` numbers words from 0. A null or empty text has
     no words and no detections. Equal rows get equal results; ties between rules of one priority go to the longer
-    match, then to the earlier rule. An empty table stays empty. Columns of docs stay; one named ``licenses`` is replaced.
+    match, then to the earlier rule. A very long text is scanned whole, in steps that grow with its matches times their
+    logarithm. An empty table stays empty. Columns of docs stay; one named ``licenses`` is replaced.
     """
     low, words, found = (free_name(docs, n) for n in ("low", "words", "found"))
     ready = docs.withColumn(low, ascii_lower(F.coalesce(F.col(text), F.lit("")))).withColumn(
         words, F.regexp_extract_all(low, F.lit(SCAN_WORD), F.lit(0))
     )
-    kept = F.transform(surviving(F.col(found)), lambda x: F.struct(x["label"], x["sure"], x["start"], x["stop"]))
+    kept = F.transform(surviving(found), lambda x: F.struct(x["label"], x["sure"], x["start"], x["stop"]))
     whole = F.struct(F.size(words).cast("long").alias("n_words"), base_places(words).alias("base"), F.array_sort(kept).alias("detections"))
     return with_struct(ready.withColumn(found, detections(low, words, rules)), "licenses", whole).drop(low, words, found)
 

@@ -51,3 +51,41 @@ def test_names_and_wrapped_clauses(spark):
     table = spark.createDataFrame([(t,) for t in cases], "text string")
     for r in license_scans.scan(table).collect():
         assert {x["label"] for x in r["licenses"]["detections"]} == cases[r["text"]], r["text"][:80]
+
+
+def test_suppression_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm.license_rules import HINT, LINK, NAME, TAG, TEXT
+    from tessera.llm.license_scans import surviving
+
+    rng = random.Random(2)
+    cases = []
+    for n in (0, 1, 2, 7, 60, 300):
+        rows = []
+        for _ in range(n):
+            start, k = rng.randrange(4 * n), rng.randrange(200)
+            rows.append((-rng.choice((TAG, TEXT, NAME, LINK, HINT)) * 1000 + k, k, "x", 0.5, start, start + rng.randint(1, 12)))
+        cases.append((n, sorted(set(rows))))
+    kind = "n int, found array<struct<rank:int,rule:int,label:string,sure:double,start:int,stop:int>>"
+    got = {r["n"]: [tuple(x) for x in r["kept"]] for r in spark.createDataFrame(cases, kind).select("n", surviving("found").alias("kept")).collect()}
+
+    def inside(x, y):
+        if not (y[4] <= x[4] and x[5] <= y[5]) or x == y:
+            return False
+        if x[0] // 1000 == y[0] // 1000:
+            return y[5] - y[4] > x[5] - x[4] or y[0] < x[0]
+        return y[0] < x[0]
+
+    for n, rows in cases:
+        assert sorted(got[n]) == sorted(x for x in rows if not any(inside(x, y) for y in rows)), n
+
+
+def test_signed_years_and_many_matches(spark):
+    texts = ["©2019 Someone", "© 2019", "(©) 1999", "©2x19", "mit license, " * 3000 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["label"], x["start"], x["stop"]) for x in r["licenses"]["detections"]] for r in license_scans.scan(docs).collect()}
+    assert got[0] == [("copyright", 0, 5)] and got[1] == [("copyright", 0, 6)] and got[3] == []
+    assert len(got[4]) == 3000 and sorted(got[4]) == [("mit", 13 * k, 13 * k + 11) for k in range(3000)]
