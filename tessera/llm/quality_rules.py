@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Every text becomes uni- and bigrams of its letter runs and symbol runs, hashed into a fixed number of
-buckets. The trusted texts and all texts give two smoothed multinomials over the buckets; a document's
-score is the mean, over its n-grams, of the log ratio of the two. DataFrame functions only.
+Every text becomes uni- and bigrams of its letter runs and symbol runs, hashed into a number of
+buckets that grows with the corpus. The trusted texts and all texts give two smoothed multinomials over the buckets; a
+document's score is the mean, over its n-grams, of the log ratio of the two. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -10,9 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, free_name, table, with_struct
+from tessera.llm.shared import WORD, free_name, table, with_struct, written
 
-BUCKETS = 1 << 14
+#: Buckets for a corpus of up to MIN_BUCKETS * CHARS_PER_BUCKET characters; beyond, as many as keep a bucket for so many characters.
+MIN_BUCKETS, CHARS_PER_BUCKET = 1 << 14, 1 << 16
+#: Up to so many log ratios stand in one row beside each text (8 bytes each); more are a table that n-grams are joined to, with the same result.
+MAX_IN_ROW = 1 << 20
+#: Log ratios are whole numbers of this part of a nat, so that sums don't depend on their order.
+UNIT = 1_000_000_000
 #: Mean log ratio, in nats an n-gram, under which a document is rejected.
 THRESHOLD = -0.1
 #: Occurrences that either side of a ratio has beforehand.
@@ -74,63 +79,101 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row ``ratio``: the log ratio of each bucket.
+def n_buckets(docs: DataFrame) -> int:
+    """The power of two that gives each CHARS_PER_BUCKET characters of all texts a bucket, MIN_BUCKETS at least."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(MIN_BUCKETS, 1 << (-(-chars // CHARS_PER_BUCKET) - 1).bit_length()) if chars else MIN_BUCKETS
 
-    Raw counts are scaled to the number of trusted n-grams, and both sides get PRIOR added to every bucket: what is rare
-    in the corpus weighs little whether the trusted texts have it or not.
 
-    The counts cover all documents, and all of the trusted among them. trusted has at most MAX_TRUSTED ids, and
-    the result has one row of ``buckets`` numbers: both stay small at any size of the corpus.
-    Without trusted documents every log ratio is zero.
-    """
+def _exploded(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
+    """keep and ``bucket``: a row for each n-gram of docs (keep, token array)."""
+    # Each token beside the one before it; hashing the rows stays in generated code, which lambdas over arrays leave.
+    pairs = docs.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "token"))
+    rows = pairs.select(*keep, F.explode(F.arrays_zip("token", "before")).alias("p")).filter("p.token IS NOT NULL")
+    hashed = rows.select(*keep, F.xxhash64("p.token").alias("t"), F.when(F.col("p.before").isNotNull(), F.xxhash64("p.before")).alias("b"))
+    both = F.array(*[F.pmod(h, F.lit(buckets)).cast("long") for h in (F.col("t"), F.xxhash64("b", "t"))])
+    return hashed.select(*keep, F.explode(both).alias("bucket"))
+
+
+def counts(docs: DataFrame, trusted: DataFrame, buckets: int = MIN_BUCKETS) -> DataFrame:
+    """(bucket, raw, target): how often the n-grams of all texts, and of the trusted ones, fall into each bucket that any falls into."""
     marked = docs.select("doc_id", tokens_of(F.col("text")).alias("token")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     )
-    # Each token beside the one before it; hashing the rows stays in generated code, which lambdas over arrays leave.
-    pairs = marked.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "token"))
-    rows = pairs.select("good", F.explode(F.arrays_zip("token", "before")).alias("p")).filter("p.token IS NOT NULL")
-    hashed = rows.select("good", F.xxhash64("p.token").alias("t"), F.when(F.col("p.before").isNotNull(), F.xxhash64("p.before")).alias("b"))
-    both = F.array(*[F.pmod(h, F.lit(buckets)).cast("int") for h in (F.col("t"), F.xxhash64("b", "t"))])
-    counts = (
-        hashed.select("good", F.explode(both).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
-    )
-    return counts.agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("raw", "target")))).alias("by"),
-        F.sum("raw").alias("n_raw"),
-        F.sum("target").alias("n_target"),
-    ).select(
-        F.expr(f"""transform(array_sort(concat(map_entries(by),
-              transform(array_except(sequence(0, {buckets} - 1), map_keys(by)), b -> struct(b AS key, struct(0L AS raw, 0L AS target) AS value)))),
-            e -> ln((e.value.target + {PRIOR}D) / (e.value.raw * (n_target / n_raw) + {PRIOR}D)))""").alias("ratio")
-    )
+    return _exploded(marked, ["good"], buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
+
 
+#: Of one bucket, with the sums n_raw and n_target of all.
+_RATIO = f"cast(round(ln((target + {PRIOR}D) / (raw * (n_target / n_raw) + {PRIOR}D)) * {UNIT}) AS bigint)"
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, most: int = MAX_TRUSTED) -> DataFrame:
-    """docs with struct ``quality``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
+
+def ratio_table(counted: DataFrame) -> DataFrame:
+    """(bucket, ratio) of the buckets that n-grams fall into."""
+    sums = {n: counted.agg(F.sum(n)).scalar() for n in ("raw", "target")}
+    return counted.withColumns({f"n_{n}": x for n, x in sums.items()}).select("bucket", F.expr(_RATIO).alias("ratio"))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = MIN_BUCKETS) -> DataFrame:
+    """One row ``ratio``: the log ratio of each bucket, in UNIT parts of a nat.
+
+    Raw counts are scaled to the number of trusted n-grams, and both sides get PRIOR added to every bucket: what is rare
+    in the corpus weighs little whether the trusted texts have it or not.
+
+    The counts cover all documents, and all of the trusted among them; trusted has at most MAX_TRUSTED ids. Without trusted documents
+    every log ratio is zero.
+    """
+    got = ratio_table(written(counts(docs, trusted, buckets), "quality-counts")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "ratio"))).alias("by"))
+    return got.select(F.expr(f"""transform(array_sort(concat(map_entries(by),
+          transform(array_except(sequence(0L, {buckets}L - 1), map_keys(by)), b -> struct(b AS key, 0L AS value)))), e -> e.value)""").alias("ratio"))
+
+
+def _sums(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
+    """(q1, q2, total): the sum of the log ratios of each text's n-grams, by the text's digests; n-grams meet a table of ratios."""
+    digests = (F.xxhash64("text").alias("q1"), F.xxhash64(F.lit(1), "text").alias("q2"))
+    texts = docs.filter("text IS NOT NULL").select("text").distinct().select(*digests, tokens_of(F.col("text")).alias("token"))
+    held = _exploded(texts, ["q1", "q2"], buckets).groupBy("q1", "q2", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(ratios, "bucket").groupBy("q1", "q2").agg(F.sum(F.col("n") * F.col("ratio")).alias("total"))
+
+
+def judge(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = THRESHOLD,
+    buckets: int | None = None,
+    most: int = MAX_TRUSTED,
+    out: str = "quality",
+    max_in_row: int = MAX_IN_ROW,
+) -> DataFrame:
+    """docs with struct ``out``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     A document fails the base rules with under 50 words or with over half its words in repeated windows. Else it is
     kept if its score reaches the threshold. A null or empty text has no words and fails; a text without n-grams
-    scores 0; repeated rows and ties get equal results; labels of unknown documents and null ids count for nothing;
-    an empty table of documents stays empty, and without trusted documents all scores are 0. Columns of docs stay;
-    one named ``quality`` is replaced.
+    scores 0; a very long text is judged whole, with arrays of its words in memory; repeated rows and ties get equal results; labels of unknown
+    documents and null ids count for nothing; an empty table of documents stays empty, and without trusted documents all
+    scores are 0. buckets: n_buckets(docs) if not given. Columns of docs stay; one named as ``out`` is replaced.
     """
-    model = fit(docs, trusted_ids(labels, most), buckets)
-    ratio, words, tokens = (free_name(docs, n) for n in ("ratio", "words", "tokens"))
-    text = F.col("text")
-    rich = docs.withColumns(
-        {words: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), tokens: token_hashes(text), ratio: model.scalar()}
-    )
-    score = F.expr(f"""CASE WHEN size({tokens}) = 0 THEN 0D ELSE
-      aggregate(transform({tokens}, (t, i) -> get({ratio}, cast(pmod(t, {buckets}) AS int)) + get({ratio}, cast(pmod(xxhash64(get({tokens}, i - 1), t), {buckets}) AS int))),
-        0D, (s, x) -> s + x) / (2 * size({tokens})) END""")
-    counts = {"n_words": F.size(words).cast("long"), **base_counts(text, words), "n_repeat_words": repeat_words(words), "score": score}
-    got = with_struct(rich, "quality", F.struct(*[c.alias(n) for n, c in counts.items()])).drop(words, tokens, ratio)
-    failed = "(quality.n_words < 50 OR 100 * quality.n_repeat_words > 50 * quality.n_words)"
-    verdict = F.struct("quality.*", F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND quality.score >= {threshold}").alias("kept"))
-    return got.withColumn("quality", verdict)
+    buckets = buckets or n_buckets(docs)
+    trusted, text = trusted_ids(labels, most), F.col("text")
+    ratio, words, tokens, got, total = (free_name(docs, n) for n in ("ratio", "words", "tokens", "got", "total"))
+    rich = docs.withColumns({words: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))})
+    if buckets <= max_in_row:
+        model = fit(docs, trusted, buckets)
+        rich = rich.withColumns({tokens: token_hashes(text), ratio: model.scalar()})
+        score = F.expr(f"""CASE WHEN size({tokens}) = 0 THEN 0D ELSE
+          aggregate(transform({tokens}, (t, i) -> get({ratio}, cast(pmod(t, {buckets}) AS int)) + get({ratio}, cast(pmod(xxhash64(get({tokens}, i - 1), t), {buckets}) AS int))),
+            0L, (s, x) -> s + x) / {UNIT}D / (2 * size({tokens})) END""")
+    else:
+        ratios = written(ratio_table(written(counts(docs, trusted, buckets), "quality-counts")), "quality-ratios")
+        sums = written(_sums(docs, ratios, buckets).select(F.struct("*").alias(total)), "quality-sums")
+        rich = rich.withColumns({tokens: F.xxhash64("text"), ratio: F.xxhash64(F.lit(1), "text")})
+        rich = rich.join(sums, (F.col(tokens) == F.col(f"{total}.q1")) & (F.col(ratio) == F.col(f"{total}.q2")), "left")
+        n = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
+        score = F.when(n == 0, 0.0).otherwise(F.col(f"{total}.total") / F.lit(float(UNIT)) / (2 * n))
+    columns = {"n_words": F.size(words).cast("long"), **base_counts(text, words), "n_repeat_words": repeat_words(words), "score": score}
+    rich = with_struct(rich, got, F.struct(*[c.alias(n) for n, c in columns.items()])).drop(words, tokens, ratio, total)
+    failed = f"({got}.n_words < 50 OR 100 * {got}.n_repeat_words > 50 * {got}.n_words)"
+    verdict = F.struct(f"{got}.*", F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND {got}.score >= {threshold}").alias("kept"))
+    return rich.withColumn(out, verdict).drop(got)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
