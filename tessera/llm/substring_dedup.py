@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-Every text is cut into units: lines, and within a line the stretches up to a sentence end, and runs of short lines. The digests of the
-normalised units are grouped over the whole corpus; the first occurrence by document and place stays, all others are
-removed, and their offsets in the original text are kept.
+Every text is cut into units: lines, and within a line the stretches up to a sentence end, and runs of short lines. The
+digests of the normalised units are grouped over the whole corpus; the first occurrence by document and place stays,
+all others are removed, and their offsets in the original text are kept. Every line is a unit, however short; a short
+one on its own is boilerplate only where it stands often enough.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import free_name, table, written
+from tessera.llm.shared import erase, free_name, table, written
 
-#: A unit of fewer words is never removed, and ends no stretch: the next sentence goes with it, and the next short line.
+#: A stretch of fewer words ends no unit: the next sentence goes with it, and the next short line.
 MIN_WORDS = 6
+#: A line of fewer words than that repeats by chance ("and.", "of the"); its repeats go where it stands so often in the corpus.
+SHORT_REPEATS = 3
 _LINE = re.compile(r"[^\n]*\n?")
 _SENTENCE_END = re.compile(r"(?<![.!?])[.!?]++[\"'”’)\]]*+\s++|(?<![。！？])[。！？]++[\"'”’)」』]*+\s*+")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-UNITS = "k1 long, k2 long, start int, stop int, d1 long, d2 long"
+UNITS = "k1 long, k2 long, start int, stop int, d1 long, d2 long, short boolean"
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
@@ -76,21 +79,32 @@ def _windows(text: str, short: list[tuple[int, int, int]], min_words: int) -> It
         held -= n
 
 
+def short_lines(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, normalised) of the lines of fewer than min_words words, blank ones aside, by start."""
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+    for line in _LINE.finditer(text):
+        words = line[0].split()
+        if words and len(words) + (len(_UNSPACED.findall(line[0])) // 2 if unspaced else 0) < min_words:
+            yield *line.span(), " ".join(words).lower()
+
+
 def unit_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a unit of docs (k1, k2, text): its document's key, its span, its digest of 128 bits."""
+    """One row a unit of docs (k1, k2, text): its document's key, its span, its digest of 128 bits, whether it is a short line."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
+        names = ["k1", "k2", "start", "stop", "d1", "d2", "short"]
         for batch in batches:
             rows: list[tuple] = []
             for k1, k2, text in zip(batch["k1"].tolist(), batch["k2"].tolist(), batch["text"].tolist(), strict=True):
-                for start, stop, unit in units(text, min_words):
-                    digest = xxhash.xxh3_128_intdigest(unit.encode())
-                    rows.append((k1, k2, start, stop, signed(digest >> 64), signed(digest & ((1 << 64) - 1))))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["k1", "k2", "start", "stop", "d1", "d2"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["k1", "k2", "start", "stop", "d1", "d2"])
+                for short, found in ((False, units(text, min_words)), (True, short_lines(text, min_words))):
+                    for start, stop, unit in found:
+                        digest = xxhash.xxh3_128_intdigest(unit.encode())
+                        rows.append((k1, k2, start, stop, signed(digest >> 64), signed(digest & ((1 << 64) - 1)), short))
+                        if len(rows) > 100_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.mapInPandas(cut, UNITS)
 
@@ -105,20 +119,22 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
         out, at = [], 0
         for s in own:
             out.append(t[at : s["start"]])
-            at = s["stop"]
+            at = max(at, s["stop"])
         return "".join([*out, t[at:]])
 
     return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with struct ``dedup``: text (what stays), removed array<struct<start, stop, doc_id>>.
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: int = SHORT_REPEATS, out: str = "dedup") -> DataFrame:
+    """docs with struct ``out``: text (what stays), removed array<struct<start, stop, doc_id>>.
 
-    Offsets are code points of the original text, spans of short lines may overlap; doc_id says where the first occurrence is. Occurrences are ranked
-    by doc_id, documents without one last, then by a hash of the row, then by place; so repeats inside one
-    document go too. Units are compared lower-cased with white space collapsed. A null text stays null, one without
-    units of min_words words stays as it is. Rows equal in doc_id and text are one document and get equal results. An
-    empty table stays empty. Columns of docs stay; one named ``dedup`` is replaced.
+    Offsets are code points of the original text, spans of short lines may overlap; doc_id says where the first
+    occurrence is. Occurrences are ranked by doc_id, documents without one last, then by a hash of the row, then by
+    place; so repeats inside one document go too. Units are compared lower-cased with white space collapsed. Units of
+    min_words words or more go from their second occurrence on; a line of fewer words on its own does so if the corpus has it
+    short_repeats times or more. A null text stays null, an empty one has no units; very long texts are cut whole, their
+    units are rows of their own. Rows equal in doc_id and text are one document and get equal results. An empty table
+    stays empty. Columns of docs stay; one named as ``out`` is replaced.
     """
     k1, k2, own = (free_name(docs, n) for n in ("k1", "k2", "spans"))
     of1, of2 = free_name(docs, "of1"), free_name(docs, "of2")
@@ -127,20 +143,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cells = written(cells, "units")
     # A digest on its own is no repeat; the documents' order is needed for the others only.
     # Digests are tables of their own, so that both sides of each join are plain exchanges and a hot digest is split.
-    firsts = written(cells.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2"), "repeat-digests")
-    repeated = written(cells.join(firsts, ["d1", "d2"]), "repeats")
+    often = F.count(F.lit(1)) >= F.when(F.first("short"), short_repeats).otherwise(2)
+    firsts = written(cells.groupBy("d1", "d2", "short").agg(often.alias("often")).filter("often").select("d1", "d2", "short"), "repeat-digests")
+    repeated = written(cells.join(firsts, ["d1", "d2", "short"]), "repeats")
+    erase(cells, firsts)
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
     owners = repeated.select("k1", "k2").distinct()
     known = written(owners.join(ids, ["k1", "k2"]).distinct(), "repeat-owners")
     ranked = repeated.join(known, ["k1", "k2"]).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "start"))
-    first = written(ranked.groupBy("d1", "d2").agg(F.min("rank").alias("first")), "repeat-firsts")
-    later = ranked.join(first, ["d1", "d2"]).filter("rank != first").select("k1", "k2", F.struct("start", "stop", F.col("first.doc_id").alias("doc_id")).alias("span"))
+    first = written(ranked.groupBy("d1", "d2", "short").agg(F.min("rank").alias("first")), "repeat-firsts")
+    later = ranked.join(first, ["d1", "d2", "short"]).filter("rank != first").select("k1", "k2", F.struct("start", "stop", F.col("first.doc_id").alias("doc_id")).alias("span"))
     spans = later.distinct().groupBy(F.col("k1").alias(of1), F.col("k2").alias(of2)).agg(F.sort_array(F.collect_list("span")).alias(own))
     joined = keyed.join(spans, (F.col(k1) == F.col(of1)) & (F.col(k2) == F.col(of2)), "left")
     none = F.array().cast("array<struct<start:int,stop:int,doc_id:bigint>>")
     removed = F.coalesce(own, none)
-    out = F.struct(_without(F.col("text"), removed).alias("text"), removed.alias("removed"))
-    return joined.withColumn("dedup", out).drop(k1, k2, of1, of2, own)
+    return joined.withColumn(out, F.struct(_without(F.col("text"), removed).alias("text"), removed.alias("removed"))).drop(k1, k2, of1, of2, own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

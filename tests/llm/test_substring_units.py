@@ -18,5 +18,15 @@ def test_windows_overlap_and_every_line_stays_once(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in substring_dedup.query(spark, str(tmp_path)).collect()}
-    assert [got[k]["text"] for k in range(5)] == [texts[0], "j k l\n", "d e f\n", "x y z\n", None]
-    assert [got[k]["chars_removed"] for k in range(5)] == [0, 12, 12, 24, 0]
+    assert [got[k]["text"] for k in range(5)] == [texts[0], "j k l\n", "", "x y z\n", None]  # "d e f" stands three times
+    assert [got[k]["chars_removed"] for k in range(5)] == [0, 12, 18, 24, 0]
+
+
+def test_a_short_line_goes_where_it_stands_often(spark):
+    line = "Subscribe to our newsletter today\n"
+    texts = [line + "a b\n", "c d\n" + line, line.upper(), "e f\n", "e f\n", line * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["dedup"]["text"] for r in substring_dedup.dedup(docs).collect()}
+    assert got == {0: texts[0], 1: "c d\n", 2: "", 3: "e f\n", 4: "e f\n", 5: ""}
+    both = {r["doc_id"]: r["dedup"]["text"] for r in substring_dedup.dedup(docs, short_repeats=2).collect()}
+    assert both == {**got, 4: ""}
