@@ -82,15 +82,18 @@ def test_substring_dedup(spark, rows, docs, empty):
     got = substring_dedup.dedup(docs.withColumn("dedup", F.lit(1)).withColumn("k1", F.lit(2))).collect()
     assert len(got) == len(rows)
     order = sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    often = collections.Counter(unit for key in order for *_, unit in substring_dedup.short_lines(key[1]))
     seen, expected = {}, {}
     for key in order:
         cut = []
-        for start, stop, unit in substring_dedup.units(key[1]):
-            if unit in seen:
-                cut.append((start, stop, seen[unit]))
+        found = [(s, e, u, False) for s, e, u in substring_dedup.units(key[1])]
+        found += [(s, e, u, True) for s, e, u in substring_dedup.short_lines(key[1]) if often[u] >= substring_dedup.SHORT_REPEATS]
+        for start, stop, unit, short in found:
+            if (unit, short) in seen:
+                cut.append((start, stop, seen[unit, short]))
             else:
-                seen[unit] = key[0]
-        expected[key] = cut
+                seen[unit, short] = key[0]
+        expected[key] = sorted(cut)
     for r in got:
         cut = expected.get((r["doc_id"], r["text"]), [])
         assert [tuple(s) for s in r["dedup"]["removed"]] == cut
@@ -99,7 +102,7 @@ def test_substring_dedup(spark, rows, docs, empty):
         else:
             kept, at = "", 0
             for start, stop, _ in cut:
-                kept, at = kept + r["text"][at:start], stop
+                kept, at = kept + r["text"][at:start], max(at, stop)
             assert r["dedup"]["text"] == kept + r["text"][at:]
     assert sum(bool(r["dedup"]["removed"]) for r in got) >= 6
     assert substring_dedup.dedup(empty).count() == 0
@@ -283,6 +286,8 @@ def test_mixing(spark, rows, docs, empty):
     again = mixing.place(docs.repartition(3), words_per_shard=5000).collect()
     key = lambda r: (repr(r["doc_id"]), repr(r["text"]), [tuple(p) for p in r["mix"]["placements"]])
     assert sorted(map(key, got)) == sorted(map(key, again))
+    shuffled = mixing.place(docs, words_per_shard=5000, broadcast_rows=0).collect()  # nothing small enough to broadcast
+    assert sorted(map(key, got)) == sorted(map(key, shuffled))
     assert mixing.place(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mixed(docs).count() == sum(len(r["mix"]["placements"]) for r in got)
@@ -307,6 +312,39 @@ def test_mixing_comes_near_and_tree_uses_every_draw_once(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_mixing_of_many_sources_and_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "RUN", 4)
+    monkeypatch.setattr(mixing, "SHARDS_A_CALL", 3)
+    table = spark.createDataFrame([(i, "w " * (1 + i % 23), f"site{i % 41 if i % 3 else 0}") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.place(table, words_per_shard=1500).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r["source"]] += r["mix"]["size"]
+    names = sorted(sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    level, open_, left = 0.0, set(names), sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not full:
+            break
+        left, open_ = left - sum(3 * sizes[s] for s in full), open_ - full
+    taken, target, shard = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["mix"]["size"] * len(r["mix"]["placements"])
+        target[r["source"]] = r["mix"]["target"]
+        assert len({p["pass"] for p in r["mix"]["placements"]}) == len(r["mix"]["placements"]) <= 3
+        for p in r["mix"]["placements"]:
+            shard[p["shard"]] += r["mix"]["size"]
+    assert all(abs(target[s] - min(3 * sizes[s], level * weight[s])) < 1e-6 for s in names)
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 23 for s in names)
+    assert len(shard) == -(-sum(sizes.values()) // 1500) and max(shard.values()) < 4 * 1500
+    # a block of a large source is a part of a shard
+    assert len({tuple(map(tuple, r["mix"]["placements"])) for r in got if r["source"] == "site0"}) > 100
+
+
 def test_quality_rules(spark, rows, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(40)] + [(None, 1, 0), (7, 1, None), (99999, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules.judge(docs.withColumn("quality", F.lit("x")).withColumn("ratio", F.lit(1)), labels).collect()
@@ -333,7 +371,13 @@ def test_quality_rules(spark, rows, docs, empty):
         np.add.at(raw, r["b"], 1)
         if r["doc_id"] in trusted:
             np.add.at(good, r["b"], 1)
-    assert np.allclose(ratio, np.log((good + 5) / (raw * good.sum() / raw.sum() + 5)))
+    assert np.allclose(np.array(ratio) / quality_rules.UNIT, np.log((good + 5) / (raw * good.sum() / raw.sum() + 5)), atol=1e-9)
+    # more ratios than stand in a row are a table, with the same scores
+    other = quality_rules.judge(docs, labels, buckets=256, max_in_row=128, out="text2").collect()
+    same = quality_rules.judge(docs, labels, buckets=256, out="text2").collect()
+    assert sorted(map(repr, other)) == sorted(map(repr, same)) and len({r["text2"]["score"] for r in same}) > 20
+    assert quality_rules.n_buckets(docs) == quality_rules.MIN_BUCKETS == quality_rules.n_buckets(empty)
+    assert quality_rules.n_buckets(spark.range(3).selectExpr("repeat('ab', 300000000) AS text").limit(0)) == quality_rules.MIN_BUCKETS
     assert quality_rules.judge(empty, labels).count() == 0
     assert {r["quality"]["score"] for r in quality_rules.judge(docs, labels.filter("false")).collect()} == {0.0}
     assert not quality_rules.judge(docs, labels).filter("quality.kept").select("doc_id").isEmpty()

@@ -62,6 +62,17 @@ def test_run_and_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_columns_with_the_names_of_helpers_stay(spark, folder):
+    path, _ = folder
+    names = ("quality", "dedup", "mix", "near", "key", "size", "block", "hash", "plan", "info", "words", "tokens", "ratio", "got", "spans", "k1", "spot")
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) > 50 and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
