@@ -6,10 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: patterns that decide results -------------------------------------------------
-SPLIT = r"[\s.,!?;:()]+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\b[0-9]{2,3}-[0-9]{3,4}-[0-9]{4}\b"
-RESIDENT_ID = r"\b[0-9]{6}-[1-4][0-9]{6}\b"
+#: White space of any script, and the signs that part tokens; of other characters tokens keep these alone.
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SIGNS = r".,!?;:'\"()\[\]{}<>/\\|@#$%^&*+=~`_\-"
+KEPT = r"\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f0-9a-z"
+PARTICLES = (
+    "으로부터", "에게서", "에서는", "으로는", "으로도", "까지는", "부터는", "한테서", "에게는", "에게도", "한테는", "한테도", "으로", "에서", "에게", "한테", "부터", "까지", "처럼", "보다", "마다",
+    "은", "는", "이", "가", "을", "를", "의", "에", "도", "만", "과", "와", "로", "나", "랑",
+)
+FRAGMENTS = (
+    "직원", "인권", "침해", "교육", "보호", "대응", "지침", "권익", "폭언", "폭행", "성희롱", "성폭력", "고충",
+    "수급자", "보호자", "급여", "평가", "매뉴얼", "주야간보호", "재가급여", "평가매뉴얼", "사례집", "개정", "비교표", "인건비", "지출", "비율", "다빈도", "질의응답", "장기근속", "장려금", "청구",
+    "전산", "기능회복", "일상생활", "훈련", "낙상", "욕창", "감염", "재난", "응급", "안전", "환경", "예방", "시설", "인력", "현황", "배치", "신고", "기준", "본인부담금", "의사소견서",
+)
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+PHONE = r"(?:\+?82[-\s]?)?0[0-9]{1,2}[-\s]?[0-9]{3,4}[-\s]?[0-9]{4}"
+RESIDENT_ID = r"\b[0-9]{6}[-\s]?[1-4][0-9]{6}\b"
+MASKS = ("[REDACTED_PHONE]", "[REDACTED_EMAIL]", "[REDACTED_ID]")
 ARTICLE = r"제\s*[0-9]+\s*조(?:의\s*[0-9]+)*"
 # ------------------------------------------------------------------------------------------------
 
@@ -18,9 +31,32 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def without_particle(token: Column) -> Column:
+    """The token without its longest ending particle, if two characters stay."""
+    return F.regexp_replace(token, f"(?<=..)(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})$", "")
+
+
+def fragments(token: Column) -> Column:
+    """The known parts of a Hangul compound of four characters or more, longest first; none where it has fewer than two."""
+    known = F.array(*[F.lit(f) for f in sorted(FRAGMENTS, key=len, reverse=True)])
+    held = F.filter(known, lambda f: (F.length(f) < F.length(token)) & token.contains(f))
+    compound = token.rlike("^[\\uac00-\\ud7a3]{4,}$") & (F.size(held) >= 2)
+    return F.when(compound, held).otherwise(F.array().cast("array<string>"))
+
+
 def tokens(text: Column, shortest: int = 2) -> Column:
-    """The distinct lower-case tokens of at least ``shortest`` characters, in order of first occurrence."""
-    return F.array_distinct(F.filter(F.split(F.lower(whole(text)), SPLIT, -1), lambda t: F.length(t) >= shortest))
+    """The distinct lower-case tokens of at least ``shortest`` characters, in order of first occurrence.
+
+    Tokens keep Hangul, digits and a-z. Hangul tokens also give their form without particle and the parts of compounds.
+    """
+    low = F.lower(whole(text))
+    cut = F.filter(F.split(F.regexp_replace(low, f"[^{KEPT}{SPACES}{SIGNS}]+", ""), f"[{SPACES}{SIGNS}]+", -1), lambda t: F.length(t) >= shortest)
+
+    def forms(t: Column) -> Column:
+        bare = without_particle(t)
+        return F.concat(F.array(t), fragments(t), F.array(bare), fragments(bare))
+
+    return F.array_distinct(F.when(low.rlike("[\\uac00-\\ud7a3]"), F.flatten(F.transform(cut, forms))).otherwise(cut))
 
 
 def normalised_space(text: Column) -> Column:
@@ -42,7 +78,7 @@ def title_key(name: Column) -> Column:
 
 def masked(text: Column, ids_first: bool = False) -> Column:
     """Phone numbers, mail addresses and resident ids replaced; ids first for logs."""
-    steps = [(PHONE, "[PHONE]"), (EMAIL, "[EMAIL]"), (RESIDENT_ID, "[ID]")]
+    steps = list(zip((PHONE, EMAIL, RESIDENT_ID), MASKS, strict=True))
     out = whole(text)
     for pattern, mask in (steps[2:] + steps[:2]) if ids_first else steps:
         out = F.regexp_replace(out, pattern, mask)
@@ -52,7 +88,7 @@ def masked(text: Column, ids_first: bool = False) -> Column:
 def preview(text: Column, limit: int = 120) -> Column:
     """Masked, white space collapsed, cut at ``limit`` with an ellipsis."""
     flat = F.trim(F.regexp_replace(masked(text, ids_first=True), r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))).otherwise(flat)
 
 
 def trimmed_to(text: Column, limit: int) -> Column:

@@ -6,17 +6,21 @@ answered by itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import compact, tokens, whole
 from tessera.functions.vector import as_double, usable
 from tessera.operators.index import document_frequency, idf, postings
+from tessera.sources.tables import stored
 
 RRF_K = 50
-#: Query batches up to so many rows ride along in every task; beyond it they are shuffled.
+#: Tables of queries and of their words up to so many (counted) rows ride along in every task; beyond it they are shuffled or taken in blocks.
 BROADCAST_QUERIES = 10_000
 
 
@@ -29,19 +33,27 @@ def query_tokens(queries: DataFrame, key: str = "query_id", text: str = "questio
     return queries.select(key, F.explode(tokens(F.col(text))).alias("token"))
 
 
-def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
+def question_index(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, token, n_tokens) of the tokens that any query has, as a table: the corpus is cut into tokens once, however many lists read it.
+
+    Tokens that no query has leave before anything is written. The distinct words of the queries are counted; only so many as are
+    small ride along with the scan.
+    """
+    words = query_tokens(queries).select("token").distinct()
+    return stored(postings(corpus, "doc_id", "text").join(small(words, words.count()), "token", "left_semi"), "question-index")
+
+
+def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24, posted: DataFrame | None = None) -> DataFrame:
     """The k best texts of each query by TF-IDF: the sum of idf over shared tokens, each over the text's tokens.
 
-    The corpus is exploded once; tokens that no query has leave at the join, before anything is shuffled, and what is
-    summed is combined before the shuffle by (query, text).
+    posted: question_index of both, made here if not given. What is summed is combined before the shuffle by
+    (query, text).
     """
-    asked = query_tokens(queries)
-    words = asked.select("token").distinct()
-    posted = postings(corpus, "doc_id", "text").join(small(words, queries.count() * 200), "token", "left_semi")
+    posted = question_index(corpus, queries) if posted is None else posted
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     weights = document_frequency(posted).withColumn("idf", idf(F.col("df"), n.scalar()))
-    weighed = small(asked.join(weights, "token"), queries.count() * 200)
-    scored = posted.join(weighed, "token").groupBy("query_id", "doc_id").agg(
+    weighed = stored(query_tokens(queries).join(weights, "token"), "question-weights")
+    scored = posted.join(small(weighed, weighed.count()), "token").groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.col("idf") / F.col("n_tokens")), 9).alias("score"), F.count(F.lit(1)).alias("n_matched")
     )
     return ranked(scored, k, "score")
@@ -53,25 +65,37 @@ def ranked(scored: DataFrame, k: int, *by: str, per: Sequence[str] = ("query_id"
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
+def exact(corpus: DataFrame, queries: DataFrame, k: int = 24, shortest: int = 2) -> DataFrame:
     """Texts that contain a query's whole wording, white space and signs aside: 28 points, 12 more in the same spelling.
 
-    Candidates are the texts that hold the query's rarest inner token, which is the join key; the wording is verified.
+    Every wording of at least ``shortest`` characters is looked for at every place of every text: the wordings of up to BROADCAST_QUERIES queries
+    form one automaton that passes over a compact text once. Larger batches of queries are taken in blocks.
     """
-    asked = queries.select("query_id", "question", compact(F.col("question")).alias("wanted"), tokens(F.col("question")).alias("tokens"))
-    asked = asked.filter(F.length("wanted") >= 8)
-    words = asked.select(F.explode("tokens").alias("token")).distinct()
-    posted = postings(corpus, "doc_id", "text").join(small(words, queries.count() * 200), "token", "left_semi")
-    df = document_frequency(posted)
-    # The last token of a query may run on in the text, and so may the first; those between must stand.
-    inner = asked.select("query_id", F.explode(F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(1)))).alias("token"))
-    rarest = inner.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    keyed = small(asked.join(rarest, "query_id").select("query_id", "question", "wanted", "token"), queries.count())
-    pairs = posted.select("doc_id", "token").join(keyed, "token")
-    texts = corpus.select("doc_id", "text", compact(F.col("text")).alias("compact"))
-    found = texts.join(pairs, "doc_id").filter(F.col("compact").contains(F.col("wanted")))
-    points = F.lit(28) + F.when(F.col("text").contains(F.col("question")), 12).otherwise(0)
-    return ranked(found.select("query_id", "doc_id", points.cast("double").alias("score")), k, "score")
+    asked = queries.select("query_id", "question", compact(F.col("question")).alias("wanted")).filter(F.length("wanted") >= shortest)
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "question"), F.lit(blocks)))
+    kind = corpus.select("doc_id").schema.fields + asked.select("query_id").schema.fields
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kind] + [T.StructField("score", T.DoubleType())])
+    texts, found = corpus.select("doc_id", "text", compact(F.col("text")).alias("compact")), None
+    for block in range(blocks):
+        rows = asked.filter(F.col("block") == block).select("query_id", "question", "wanted").collect()
+
+        def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
+            words = ahocorasick.Automaton()
+            for n, r in enumerate(rows):
+                words.add_word(r["wanted"], [*words.get(r["wanted"], []), n])
+            if rows:
+                words.make_automaton()
+            for batch in batches:
+                out = []
+                for doc, text, low in zip(batch["doc_id"], batch["text"], batch["compact"], strict=True):
+                    met = {n for _, held in words.iter(low) for n in held} if rows else ()
+                    out += [(doc, rows[n]["query_id"], 40.0 if rows[n]["question"] in (text or "") else 28.0) for n in met]
+                yield pd.DataFrame(out, columns=["doc_id", "query_id", "score"])
+
+        part = texts.mapInPandas(search, schema)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found.select("query_id", "doc_id", "score"), k, "score")
 
 
 def vector(corpus: DataFrame, queries: DataFrame, k: int = 48) -> DataFrame:

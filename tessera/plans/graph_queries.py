@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.operators import graph as G
+from tessera.plans.text_queries import TOKENS_SQL
 from tessera.sources.tables import table
 
 
@@ -75,7 +76,7 @@ f1 AS (SELECT seed, dst AS node FROM h1 WHERE (seed, dst) NOT IN (SELECT (seed,
 h2 AS (SELECT seed, dst, sum(greatest(2.0, weight * 3)) AS boost FROM f1 JOIN both_ways ON node = src GROUP BY ALL),
 r AS (SELECT seed, node AS entity_id, 0 AS hops, 0.0::DOUBLE AS boost FROM h0 UNION ALL SELECT seed, dst, 1, boost FROM h1 UNION ALL SELECT seed, dst, 2, boost FROM h2)
 SELECT seed, entity_id, min(hops)::INTEGER AS hops, sum(boost) AS boost FROM r GROUP BY ALL""",
-    "alias_tokens": rf"""WITH {_ENT}, t AS (SELECT entity_type, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(label, '')), '[\s.,!?;:()]+'), lambda t: length(t) >= 2))) AS token FROM ent)
+    "alias_tokens": rf"""WITH {_ENT}, t AS (SELECT entity_type, unnest({TOKENS_SQL.format("label")}) AS token FROM ent)
 SELECT entity_type, token, count(*) AS n FROM t GROUP BY ALL""",
     "dangling_edges": f"WITH {_ENT}, {_EDG}, e AS (SELECT src AS entity_id FROM edg WHERE relation <> 'placed' UNION SELECT dst FROM edg WHERE relation <> 'placed') SELECT entity_id FROM e WHERE entity_id NOT IN (SELECT entity_id FROM ent)",
 }

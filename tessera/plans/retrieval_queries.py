@@ -72,15 +72,11 @@ scored AS (
   FROM q JOIN p USING (token) JOIN f USING (token) GROUP BY ALL),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 24)"""
 _COMPACT = r"regexp_replace(lower(coalesce({0}, '')), '[^\x{{ac00}}-\x{{d7a3}}\x{{1100}}-\x{{11ff}}\x{{3130}}-\x{{318f}}0-9a-z]+', '', 'g')"
-_LISTS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\s.,!?;:()]+'), lambda t: length(t) >= 2)"
 _EXACT = f"""
-ordered AS (SELECT item_id AS query_id, text AS question, {_COMPACT.format("text")} AS wanted,
-  list_filter({_LISTS}, lambda x, i: list_position({_LISTS}, x) = i) AS t FROM benchmark),
-inner_tokens AS (SELECT query_id, unnest(list_slice(t, 2, 1 + greatest(len(t) - 2, 1))) AS token FROM ordered WHERE length(wanted) >= 8),
-rarest AS (SELECT query_id, arg_min(token, (df, token)) AS token FROM inner_tokens JOIN f USING (token) GROUP BY query_id),
-compacted AS (SELECT doc_id, text, {_COMPACT.format("text")} AS c FROM documents),
+wordings AS (SELECT item_id AS query_id, text AS question, {_COMPACT.format("text")} AS wanted FROM benchmark),
+compacted AS (SELECT doc_id, coalesce(text, '') AS text, {_COMPACT.format("text")} AS c FROM documents),
 hit AS (SELECT o.query_id, d.doc_id, 28.0::DOUBLE + CASE WHEN contains(d.text, o.question) THEN 12 ELSE 0 END AS score
-  FROM ordered o JOIN rarest r USING (query_id) JOIN p ON p.token = r.token JOIN compacted d ON d.doc_id = p.doc_id AND contains(d.c, o.wanted)),
+  FROM wordings o JOIN compacted d ON length(o.wanted) >= 2 AND contains(d.c, o.wanted)),
 exa AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 24)"""
 _FUSED = f"""{_LEX}, {_EXACT},
 lists AS (SELECT query_id, doc_id, 'lexical' AS list, score, rank FROM lex UNION ALL SELECT query_id, doc_id, 'exact', score, rank FROM exa),
@@ -89,7 +85,7 @@ summed AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (50 + rank)), 9) AS
 fused_list AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM summed QUALIFY rank <= 24)"""
 SQL = {
     "lexical_top_k": f"WITH {_LEX} SELECT * FROM lex",
-    "exact_matches": f"WITH {_POSTINGS}, {_EXACT} SELECT * FROM exa",
+    "exact_matches": f"WITH {_EXACT} SELECT * FROM exa",
     "vector_neighbours": """
 WITH pairs AS (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.sources.tables import table
 
-TOKENS_SQL = r"list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '[\s.,!?;:()]+'), lambda t: length(t) >= 2))"
+#: For texts without Hangul: those give further forms, which literal tests cover.
+_SPACES, _KEPT = (re.sub(r"\\u([0-9a-f]{4})", r"\\x{{\1}}", x) for x in (T.SPACES, T.KEPT))
+_SIGNS = T.SIGNS.replace("'", "''").replace("{", "{{").replace("}", "}}").replace('\\"', '"')
+CUT_SQL = f"list_filter(string_split_regex(regexp_replace(lower(coalesce({{0}}, '')), '[^{_KEPT}{_SPACES}{_SIGNS}]+', '', 'g'), '[{_SPACES}{_SIGNS}]+'), lambda t: length(t) >= 2)"
+TOKENS_SQL = f"list_distinct({CUT_SQL})"
 
 
 def text_tokens(spark, sf):
@@ -45,7 +51,7 @@ def page_title_keys(spark, sf):
 QUERIES = {f.__name__: f for f in (text_tokens, text_normalised, text_masked, text_previews, text_markup, page_title_keys)}
 
 _MASK = r"""regexp_replace(regexp_replace(regexp_replace({0}, '{1}', '{2}', 'g'), '{3}', '{4}', 'g'), '{5}', '{6}', 'g')"""
-_P, _E, _I = (T.PHONE, "[PHONE]"), (T.EMAIL, "[EMAIL]"), (T.RESIDENT_ID, "[ID]")
+_P, _E, _I = zip((T.PHONE, T.EMAIL, T.RESIDENT_ID), T.MASKS)
 SQL = {
     "text_tokens": f"WITH d AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, list_min(t) AS first_token, list_max(t) AS last_token FROM d",
     "text_normalised": r"""
@@ -58,7 +64,7 @@ SELECT doc_id, md5({_MASK.format("coalesce(text, '')", *_P, *_E, *_I)}) AS maske
   len(regexp_extract_all(coalesce(text, ''), '{T.EMAIL}')) AS n_mails, len(regexp_extract_all(coalesce(text, ''), '{T.PHONE}')) AS n_phones FROM documents""",
     "text_previews": rf"""
 WITH f AS (SELECT conv_id, turn, coalesce(text, '') AS text, trim(regexp_replace({_MASK.format("coalesce(text, '')", *_I, *_P, *_E)}, '\s+', ' ', 'g')) AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS preview,
+SELECT conv_id, turn, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 119)) || '…' ELSE t END AS preview,
   CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS trimmed FROM f""",
     "text_markup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,

@@ -18,8 +18,8 @@ def values(df):
 def test_text_functions(spark):
     df = spark.createDataFrame([("Call 010-1234-5678 or a@b.co, id 900101-1234567",), ("제 3 조의 2 본문",), (None,), ("a" * 130,)], "t string")
     got = df.select(text.masked(F.col("t"), ids_first=True), text.article_no(F.col("t")), F.length(text.preview(F.col("t")))).collect()
-    assert got[0][0] == "Call [PHONE] or [EMAIL], id [ID]"
-    assert [r[1] for r in got] == [None, "제3조의2", None, None] and [r[2] for r in got][2:] == [0, 121]
+    assert got[0][0] == "Call [REDACTED_PHONE] or [REDACTED_EMAIL], id [REDACTED_ID]"
+    assert [r[1] for r in got] == [None, "제3조의2", None, None] and [r[2] for r in got][2:] == [0, 120]
     follow = spark.createDataFrame([("And that?",), ("A question that stands for itself and is long",)], "t string").select(text.is_follow_up(F.col("t")))
     assert [r[0] for r in follow.collect()] == [True, False]
 
