@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SIGNS = r".,!?;:'\"()\[\]{}<>/\\|@#$%^&*+=~`_\-"
 KEPT = r"\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f0-9a-z"
+CONTROLS = r"[\x00-\x08\x0e-\x1f\x7f]"
 PARTICLES = (
     "으로부터", "에게서", "에서는", "으로는", "으로도", "까지는", "부터는", "한테서", "에게는", "에게도", "한테는", "한테도", "으로", "에서", "에게", "한테", "부터", "까지", "처럼", "보다", "마다",
     "은", "는", "이", "가", "을", "를", "의", "에", "도", "만", "과", "와", "로", "나", "랑",
@@ -50,7 +51,10 @@ def tokens(text: Column, shortest: int = 2) -> Column:
     Tokens keep Hangul, digits and a-z. Hangul tokens also give their form without particle and the parts of compounds.
     """
     low = F.lower(whole(text))
-    cut = F.filter(F.split(F.regexp_replace(low, f"[^{KEPT}{SPACES}{SIGNS}]+", ""), f"[{SPACES}{SIGNS}]+", -1), lambda t: F.length(t) >= shortest)
+    low = F.when(low.rlike(CONTROLS), F.regexp_replace(low, CONTROLS, "")).otherwise(low)
+    # what is not ASCII is looked at token by token: most tokens are spared the pattern
+    pure = lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, f"[^{KEPT}]+", ""))
+    cut = F.filter(F.transform(F.split(low, f"[{SPACES}{SIGNS}]+", -1), pure), lambda t: F.length(t) >= shortest)
 
     def forms(t: Column) -> Column:
         bare = without_particle(t)

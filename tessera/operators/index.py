@@ -10,7 +10,8 @@ from tessera.functions.text import tokens
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, n_tokens): a row for each distinct token of a text; n_tokens is their number in it."""
-    listed = corpus.select(F.col(key), tokens(F.col(text)).alias("tokens"))
+    # behind a generator, so that the two readers of the list don't each make it
+    listed = corpus.select(F.col(key), F.explode(F.array(tokens(F.col(text)))).alias("tokens"))
     return listed.select(key, F.explode("tokens").alias("token"), F.size("tokens").alias("n_tokens"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import compact, tokens, whole
 from tessera.functions.vector import as_double, usable
-from tessera.operators.index import document_frequency, idf, postings
-from tessera.sources.tables import stored
+from tessera.sources.tables import spread, stored
 
 RRF_K = 50
 #: Tables of queries and of their words up to so many (counted) rows ride along in every task; beyond it they are shuffled or taken in blocks.
@@ -33,30 +33,74 @@ def query_tokens(queries: DataFrame, key: str = "query_id", text: str = "questio
     return queries.select(key, F.explode(tokens(F.col(text))).alias("token"))
 
 
-def question_index(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, token, n_tokens) of the tokens that any query has, as a table: the corpus is cut into tokens once, however many lists read it.
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in parts of about BROADCAST_QUERIES, which are small enough to be shipped to tasks."""
+    n = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries for k in range(n)]
 
-    Tokens that no query has leave before anything is written. The distinct words of the queries are counted; only so many as are
-    small ride along with the scan.
+
+def question_index(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(doc_id, n_tokens, held): of every text the places in ``words`` of the words that it holds, as a table.
+
+    The corpus is cut into tokens once; what no query asks for is gone before anything is written.
     """
-    words = query_tokens(queries).select("token").distinct()
-    return stored(postings(corpus, "doc_id", "text").join(small(words, words.count()), "token", "left_semi"), "question-index")
+    number = corpus.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = number.value.get
+        for batch in batches:
+            held = [[k for k in map(place, own) if k is not None] for own in batch["tokens"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(own) for own in batch["tokens"]], "held": held})
+
+    listed = spread(corpus.filter("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens"))
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    return stored(listed.mapInPandas(kept, f"doc_id {kind}, n_tokens int, held array<int>"), "question-index")
 
 
-def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24, posted: DataFrame | None = None) -> DataFrame:
+def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
     """The k best texts of each query by TF-IDF: the sum of idf over shared tokens, each over the text's tokens.
 
-    posted: question_index of both, made here if not given. What is summed is combined before the shuffle by
-    (query, text).
+    The queries, in parts of bounded size, go to the texts as lists of (query, idf) by token; a task adds up what each of its
+    texts scores for all queries and passes on the k best of each query, so no pair of query and text is shuffled that
+    can't be among them. Texts without id take no part.
     """
-    posted = question_index(corpus, queries) if posted is None else posted
-    n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    weights = document_frequency(posted).withColumn("idf", idf(F.col("df"), n.scalar()))
-    weighed = stored(query_tokens(queries).join(weights, "token"), "question-weights")
-    scored = posted.join(small(weighed, weighed.count()), "token").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("idf") / F.col("n_tokens")), 9).alias("score"), F.count(F.lit(1)).alias("n_matched")
-    )
-    return ranked(scored, k, "score")
+    n, found = corpus.count(), None
+    kinds = [corpus.select("doc_id").schema[0], queries.select("query_id").schema[0]]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType()), T.StructField("n_matched", T.LongType())])
+    for block in _blocks(queries):
+        asked = query_tokens(block).distinct().toPandas()
+        words, ids = sorted(set(asked["token"])), asked["query_id"].drop_duplicates().tolist()
+        index = question_index(corpus, words)
+        df = np.zeros(len(words), dtype=np.int64)
+        for r in index.select(F.explode("held").alias("w")).groupBy("w").count().collect():
+            df[r["w"]] = r["count"]
+        place, who = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+        word, query = asked["token"].map(place).to_numpy(np.int64), asked["query_id"].map(who).to_numpy(np.int64)
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(len(words) + 1))
+        shipped = corpus.sparkSession.sparkContext.broadcast((ids, ends, query[order], np.log((n + 1) / (df + 1))[word[order]] + 1))
+
+        def score(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            ids, ends, query, weight = shipped.value
+            rows = max(1, 2_000_000 // max(1, len(ids)))
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    part = batch.iloc[at : at + rows]
+                    sums, met = np.zeros((len(part), len(ids))), np.zeros((len(part), len(ids)), dtype=np.int64)
+                    for r, (size, held) in enumerate(zip(part["n_tokens"], part["held"], strict=True)):
+                        if len(held):
+                            spot = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in held])
+                            sums[r] = np.bincount(query[spot], weight[spot], len(ids)) / size
+                            met[r] = np.bincount(query[spot], minlength=len(ids))
+                    q, d = np.nonzero(met.T)
+                    points, doc = np.round(sums[d, q], 9), part["doc_id"].to_numpy()[d]
+                    best = np.lexsort((np.unique(doc, return_inverse=True)[1], -points, q))
+                    best = best[np.arange(len(best)) - np.searchsorted(q[best], q[best]) < k]
+                    yield pd.DataFrame({"doc_id": doc[best], "query_id": [ids[i] for i in q[best]], "score": points[best], "n_matched": met[d, q][best]})
+
+        part = index.mapInPandas(score, schema)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found.select("query_id", "doc_id", "score", "n_matched"), k, "score")
 
 
 def ranked(scored: DataFrame, k: int, *by: str, per: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -72,13 +116,11 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int = 24, shortest: int = 2)
     form one automaton that passes over a compact text once. Larger batches of queries are taken in blocks.
     """
     asked = queries.select("query_id", "question", compact(F.col("question")).alias("wanted")).filter(F.length("wanted") >= shortest)
-    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "question"), F.lit(blocks)))
     kind = corpus.select("doc_id").schema.fields + asked.select("query_id").schema.fields
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kind] + [T.StructField("score", T.DoubleType())])
-    texts, found = corpus.select("doc_id", "text", compact(F.col("text")).alias("compact")), None
-    for block in range(blocks):
-        rows = asked.filter(F.col("block") == block).select("query_id", "question", "wanted").collect()
+    texts, found = spread(corpus.select("doc_id", "text")).select("doc_id", "text", compact(F.col("text")).alias("compact")), None
+    for block in _blocks(asked):
+        rows = block.collect()
 
         def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
             words = ahocorasick.Automaton()

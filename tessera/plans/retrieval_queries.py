@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieval as R
 from tessera.operators.index import corpus_stats, document_frequency, postings
 from tessera.plans.text_queries import TOKENS_SQL
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def _docs(spark, sf):
@@ -51,11 +51,11 @@ def question_outcomes(spark, sf):
 
 
 def index_statistics(spark, sf):
-    return corpus_stats(_docs(spark, sf), "doc_id", "text")
+    return corpus_stats(spread(_docs(spark, sf)), "doc_id", "text")
 
 
 def token_frequencies(spark, sf):
-    return document_frequency(postings(_docs(spark, sf), "doc_id", "text"))
+    return document_frequency(postings(spread(_docs(spark, sf)), "doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (lexical_top_k, exact_matches, vector_neighbours, hybrid_fused, diversified, question_outcomes, index_statistics, token_frequencies)}
