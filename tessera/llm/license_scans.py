@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.license_rules import HINT, LINK, NAME, RULES, TAG, TEXT, regex
+from tessera.llm.license_rules import HINT, LINK, NAME, RULES, SIGN, TAG, TEXT, regex
 from tessera.llm.shared import ascii_lower, free_name, table, with_struct
 
 SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,8 +61,8 @@ def detections(low: str, words: str, rules: Sequence[tuple[str, int, str, str]]
         f"'keywords', array({', '.join(map(repr, keywords.split('|')))}), 'pattern', {quoted(regex(pattern))})"
         for k, (label, priority, keywords, pattern) in enumerate(rules)
     )
-    keywords = ", ".join(map(repr, sorted({x for r in rules for x in r[2].split("|")})))
-    return F.expr(f"""flatten(aggregate(array(array_intersect({words}, array({keywords}))),
+    keywords = ", ".join(map(repr, sorted({x for r in rules for x in r[2].split("|")} - {SIGN})))
+    return F.expr(f"""flatten(aggregate(array(concat(array_intersect({words}, array({keywords})), IF(contains({low}, '{SIGN}'), array('{SIGN}'), cast(array() AS array<string>)))),
       cast(array() AS array<array<struct<rank:int,rule:int,label:string,sure:double,start:int,stop:int>>>),
       (none, held) -> CASE WHEN size(held) = 0 THEN none ELSE transform(
         filter(array({table_}), r -> arrays_overlap(r.keywords, held)),
