@@ -257,3 +257,15 @@ RULES = (
 def regex(pattern: str) -> str:
     """The Java pattern: gaps for spaces (also those that a group makes optional), between word edges."""
     return f"{EDGE_BEFORE}(?:{pattern.replace(' ?', f'(?:{GAP})?').replace(' ', GAP)}){EDGE_AFTER}"
+
+
+def required(pattern: str) -> list[str]:
+    """Words that every text the pattern fits holds: those that stand plainly between gaps, outside groups."""
+    depth, out = 0, []
+    for part in pattern.replace(" ?", "?").split(" "):
+        if depth == 0 and part.isascii() and part.isalnum():
+            out.append(part)
+        depth += part.count("(") - part.count(")")
+        if depth == 0 and "|" in part and "(" not in part:
+            return []
+    return sorted(set(out))

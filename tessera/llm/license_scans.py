@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.license_rules import HINT, LINK, NAME, RULES, SIGN, TAG, TEXT, regex
+from tessera.llm.license_rules import HINT, LINK, NAME, RULES, SIGN, TAG, TEXT, regex, required
 from tessera.llm.shared import ascii_lower, free_name, table, with_struct
 
 SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,21 +53,24 @@ def _intervals(text: str, pattern: str) -> str:
 def detections(low: str, words: str, rules: Sequence[tuple[str, int, str, str]] = RULES) -> Column:
     """array<struct<rank, rule, label, sure, start, stop>> of all rules, over the lower-cased text and its words.
 
-    The keywords that the text holds as words select the rules; most texts hold none and are done.
+    The keywords that the text holds as words select the rules; most texts hold none and are done. A rule is tried if the text has
+    all the words that its pattern needs.
     """
     quoted = lambda x: "r'" + x.replace("'", "\\x27") + "'"
+    words_of = lambda p: f"array({', '.join(map(repr, required(p)))})" if required(p) else "cast(array() AS array<string>)"
     table_ = ", ".join(
         f"named_struct('rank', {-priority * 1000 + k}, 'rule', {k}, 'label', '{label}', 'sure', {SURE[priority]}D, "
-        f"'keywords', array({', '.join(map(repr, keywords.split('|')))}), 'pattern', {quoted(regex(pattern))})"
+        f"'keywords', array({', '.join(map(repr, keywords.split('|')))}), 'required', {words_of(pattern)}, 'pattern', {quoted(regex(pattern))})"
         for k, (label, priority, keywords, pattern) in enumerate(rules)
     )
     keywords = ", ".join(map(repr, sorted({x for r in rules for x in r[2].split("|")} - {SIGN})))
+    others = ", ".join(map(repr, sorted({x for r in rules for x in required(r[3])} | {""})))
     return F.expr(f"""flatten(aggregate(array(concat(array_intersect({words}, array({keywords})), IF(contains({low}, '{SIGN}'), array('{SIGN}'), cast(array() AS array<string>)))),
       cast(array() AS array<array<struct<rank:int,rule:int,label:string,sure:double,start:int,stop:int>>>),
-      (none, held) -> CASE WHEN size(held) = 0 THEN none ELSE transform(
-        filter(array({table_}), r -> arrays_overlap(r.keywords, held)),
+      (none, held) -> CASE WHEN size(held) = 0 THEN none ELSE aggregate(array(array_intersect({words}, array({others}))), none, (none2, also) -> transform(
+        filter(array({table_}), r -> arrays_overlap(r.keywords, held) AND size(array_except(r.required, also)) = 0),
         r -> transform({_intervals(low, 'r.pattern')},
-          x -> struct(r.rank AS rank, r.rule AS rule, r.label AS label, r.sure AS sure, x.start AS start, x.stop AS stop))) END))""")
+          x -> struct(r.rank AS rank, r.rule AS rule, r.label AS label, r.sure AS sure, x.start AS start, x.stop AS stop)))) END))""")
 
 
 def surviving(found: str) -> Column:
