@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import graph_queries, report_queries, retrieval_queries, rule_queries, section_queries, text_queries, trace_queries
 
-from tessera.plans import graph_queries, report_queries, retrieval_queries, rule_queries, section_queries, text_queries
-
-MODULES = (text_queries, retrieval_queries, section_queries, report_queries, graph_queries, rule_queries)
-
+MODULES = (text_queries, retrieval_queries, section_queries, report_queries, graph_queries, rule_queries, trace_queries)
 
 def queries() -> dict:
     """All registered builders by name."""
@@ -17,7 +15,6 @@ def queries() -> dict:
         out |= module.QUERIES
     return out
 
-
 def oracle_sql() -> dict:
     """All registered SQL texts by name."""
     out: dict = {}
@@ -25,6 +22,5 @@ def oracle_sql() -> dict:
         out |= module.SQL
     return out
 
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_queries.hybrid_fused(spark, sf_dir)
