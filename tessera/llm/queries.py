@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_extraction, license_scans, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, topk_search, url_filters
+from tessera.llm import (
+    curve_packing, html_extraction, license_scans, mixing, packing, quality_rules, simhash, substring_dedup, token_alignment, token_counts, topk_search, url_filters,
+    whitening,
+)
 
 
 def queries() -> dict:
@@ -17,6 +20,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.query,
         "op9_token_counts": token_counts.query,
         "op10_url_filters": url_filters.query,
+        "op11_embedding_whitening": whitening.query,
+        "op12_token_alignment": token_alignment.query,
+        "op13_curve_packing": curve_packing.query,
     }
 
 
