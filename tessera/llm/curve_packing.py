@@ -17,8 +17,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ranked_words import RankedEncoder
 from tessera.llm.shared import erase, table, written
-from tessera.llm.tokenizing import PieceEncoder
 
 CAPACITY, END = 4096, 2
 #: Buckets of the hashed vectors; dimensions of the curve and bits of each, together at most 62.
@@ -85,7 +85,7 @@ def _encode(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     kind = _kind(vocabulary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, hashed = PieceEncoder.of(tokenizer), _hashed(vocabulary)
+        encoder, hashed = RankedEncoder.of(tokenizer), _hashed(vocabulary)
         for batch in batches:
             batch = batch.astype({"doc_id": "Int64"})
             for at in range(0, len(batch), 500):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import curve_packing, token_alignment, whitening
+from tessera.llm.ranked_words import RankedEncoder, word_ranks
 
 BYTE, WORDS, PIECE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
@@ -173,6 +175,19 @@ def test_alignment_without_known_chunks(spark):
         assert one[:5] == two[:5] and one[5].tolist() == two[5].tolist() and one[6].tolist() == two[6].tolist()
 
 
+def test_words_by_rank():
+    rng, tokenizer, encoder = random.Random(1), Tokenizer.from_file(WORDS), RankedEncoder(WORDS)
+    assert encoder.core is not None and RankedEncoder(BYTE).core is None
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgkjqxzéàüñßøÉÀŒİıſ") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    words += ["".join(rng.choice("!#$%&*()-_=+[]{};:,.<>/?|'a1") for _ in range(rng.randint(1, 6))) for _ in range(5_000)]
+    words += [w[:-4] for w in tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isalpha()]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + ["", " ", "東京 naïve", "x" * 5000]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.ids(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    made = json.loads(open(WORDS, encoding="utf-8").read())
+    made["model"]["merges"].reverse()
+    assert word_ranks(made) is None
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_walks_to_neighbours(dims, bits):
     cells = np.array(np.meshgrid(*[np.arange(1 << bits)] * dims)).reshape(dims, -1).T
