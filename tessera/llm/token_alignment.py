@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ranked_words import byte_of_sign
 from tessera.llm.shared import erase, table, written
 from tessera.llm.tokenizing import MEMO_CHARS, MEMO_PIECES, SPACE, PieceEncoder
 
@@ -32,13 +34,6 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 SPACES = re.compile(f"[{SPACE}]")
 
 
-def byte_of_sign() -> dict[str, int]:
-    """The byte that each sign of a byte-level vocabulary stands for: printable ones are themselves, the others follow from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class BothEncoder:
     """Ids of space+text by a byte-level tokenizer (A) and by a sentencepiece model (B); one instance lives in a Python worker.
 
@@ -71,6 +66,7 @@ class BothEncoder:
         self.length_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         self.names_a, self.names_b = _names(len(self.bytes_a), "|"), _names(len(self.bytes_b), ";")
+        self.ranked = self._ranked(made)
         self.chunk = self._chunks() if PieceEncoder._kind(made) == "keeps space" and not self.b.encode("") else None
         self.before = self.b.encode("a")
         self.memo: dict[str, tuple[bytes, bytes, bool]] = {}
@@ -81,6 +77,26 @@ class BothEncoder:
             cls._own = {(a, b): cls(a, b)}
         return cls._own[a, b]
 
+    def _ranked(self, made: dict):
+        """An encoder of A's by rank, which gives the same ids where they are in the order of merges; None where they aren't.
+
+        It divides a text by the same pattern, but by its own table of characters: only chunks of Latin signs are given to it.
+        """
+        import tiktoken
+
+        model, special = made["model"], {t["id"] for t in made["added_tokens"]}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        ids = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in merges]
+        ranks = {raw: k for k, raw in enumerate(self.bytes_a) if raw and k not in special}
+        if PieceEncoder._kind(made) != "keeps space" or ids != sorted(set(ids)) or any(ranks.get(bytes([b]), ids[0]) >= ids[0] for b in range(256)):
+            return None
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def _ids_a(self, chunks: list[str]) -> Iterator[list[int]]:
+        plain = [self.ranked is not None and max(c) < "\u0250" for c in chunks]
+        others = iter(self.a.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        return (self.ranked(c) if p else next(others).ids for c, p in zip(chunks, plain, strict=True))
+
     def _chunks(self) -> re.Pattern:
         """Chunks begin where white space follows another sign; not at white space that stands behind such a sign in one of B's pieces."""
         inner = set()
@@ -103,11 +119,11 @@ class BothEncoder:
         for at in range(0, len(chunks), 20_000):
             some = chunks[at : at + 20_000]
             ids_b = self.b.encode([f"a{c}" for c in some], num_threads=1)
-            for c, ea, eb in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), ids_b, strict=True):
-                ids, own = ea.ids, eb[skip:]
+            for c, ids, eb in zip(some, self._ids_a(some), ids_b, strict=True):
+                own = eb[skip:]
                 raw = c.encode()
                 same = eb[:skip] == self.before and b"".join([self.bytes_a[i] for i in ids]) == raw and b"".join([self.bytes_b[i] for i in own]) == raw
-                out.append((np.array(ids, dtype="<i4").tobytes(), np.array(own, dtype="<i4").tobytes(), same))
+                out.append((array("i", ids).tobytes(), array("i", own).tobytes(), same))
         return out
 
     def whole(self, text: str) -> tuple[bytes, bytes, bool]:
