@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import UPPER, erase, free_name, written
@@ -28,6 +28,8 @@ SHINGLE, SEED = 5, 42
 COMMON, MOST_COMMON = 16, 2_000_000
 #: Sets before it under its shingles that a set is compared with in the first pass: those of most shared shingles.
 BESIDE = 6
+#: Numbers of 64 bits in a set's sketch.
+SKETCH = 16
 #: Shingles counted in one group, and hashed before they are counted in a task.
 COUNTED, HELD = 1_000_000, 2_000_000
 #: Up to so many (counted) keys of sets to compare are broadcast to where the texts are; more are joined by shuffle.
@@ -90,6 +92,12 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """SKETCH numbers whose bits say whether an odd number of a set's hashes falls to them: two sets' sketches differ in no more bits than the sets do in hashes."""
+    odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def may_be_alike(p: bytes, q: bytes, n: int, m: int) -> bool:
     """False only where sets of n and m hashes with these bitmaps can't have a similarity of 0.8: bits that differ stand for hashes that only one has."""
     a, b = np.frombuffer(p, dtype=np.uint8), np.frombuffer(q, dtype=np.uint8)
@@ -143,7 +151,7 @@ def common_shingles(docs: DataFrame) -> Common:
 
 
 def _marked(docs: DataFrame, common: Common) -> DataFrame:
-    """(doc_id, x, y, node, n, f, bitmap, prefix) of docs (doc_id, x, y, text): node stands for a set, n is its size, f its SimHash."""
+    """(doc_id, x, y, node, n, f, bitmap, sketch, prefix) of docs (doc_id, x, y, text): node stands for a set, n is its size, f its SimHash."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,11 +162,12 @@ def _marked(docs: DataFrame, common: Common) -> DataFrame:
             out["n"] = [len(s) for s in sets]
             out["f"] = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
             out["bitmap"] = [bitmap(s) for s in sets]
+            out["sketch"] = [sketch(s) for s in sets]
             out["prefix"] = [prefix(s, shipped.value).view(np.int64) for s in sets]
             yield out
 
     return docs.mapInPandas(
-        lambda batches: cut(b.astype({"doc_id": "Int64"}) for b in batches), "doc_id long, x long, y long, node long, n int, f long, bitmap binary, prefix array<long>"
+        lambda batches: cut(b.astype({"doc_id": "Int64"}) for b in batches), "doc_id long, x long, y long, node long, n int, f long, bitmap binary, sketch array<long>, prefix array<long>"
     )
 
 
@@ -198,13 +207,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame, most: int) -> Da
     return edges
 
 
-def _looked_up(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that SimHash look-ups meet: sets of one fingerprint with the least of them, and the least ones of linked fingerprints."""
+def _looked_up(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that SimHash look-ups meet: sets of one fingerprint with the least of them, and the least ones of linked fingerprints; and the table they are read from."""
     least = written(sets.groupBy("f").agg(F.min("node").alias("rep")), "near-fingerprints")
     same = sets.select("node", "f").join(least, "f").filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     linked = links(least.select("f"))
     reps = linked.join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").selectExpr("least(ra, rb) AS a", "greatest(ra, rb) AS b")
-    return same.unionByName(reps)
+    return same.unionByName(reps), least
 
 
 def _stars(sets: DataFrame, texts: DataFrame, most: int) -> DataFrame:
@@ -212,31 +221,34 @@ def _stars(sets: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 
     First every set is compared with what its fingerprint's look-up meets and with a few of those that stand before it
     under its shingles, by size; what is then joined is not compared again, so that large groups of near copies need no square of
-    comparisons. Then all the others are.
+    comparisons. Then all the others are that meet under a shingle and whose sketches do not part them there.
     """
     posted = sets.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    posted.createOrReplaceTempView("near_posted")
-    near = posted.sparkSession.sql(
-        "SELECT h, node, n, at, lag(node) OVER w AS prev, lag(n) OVER w AS prev_n, lead(node) OVER w AS next FROM near_posted WINDOW w AS (PARTITION BY h ORDER BY n, node)"
-    )
+    order = Window.partitionBy("h").orderBy("n", "node")
+    near = posted.select("h", "node", "n", "at", F.lag("node").over(order).alias("prev"), F.lag("n").over(order).alias("prev_n"), F.lead("node").over(order).alias("next"))
     meets = written(near.filter("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "near-meets")
     # The nearest of them are enough to begin with: what they leave apart is compared below.
     beside = meets.filter("prev IS NOT NULL AND 5 * least(n, prev_n) >= 4 * greatest(n, prev_n)").groupBy("node", "prev").count()
     beside = beside.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "prev")), asc=False), 1, BESIDE).alias("some"))
     beside = beside.select("node", F.explode("some.prev").alias("prev")).selectExpr("least(node, prev) AS a", "greatest(node, prev) AS b")
-    tried = written(beside.unionByName(_looked_up(sets)).distinct(), "near-pairs")
+    looked_up, least = _looked_up(sets)
+    tried = written(beside.unionByName(looked_up).distinct(), "near-pairs")
     edges = _alike(tried, sets, texts, most)
     stars = components(edges)
     rooted = written(meets.join(stars, "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "near-rooted")
     mixed = written(rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h"), "near-mixed")
-    open_ = written(rooted.join(mixed, "h"), "near-open")
-    erase(meets, rooted, mixed)
+    signs = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
+    open_ = written(rooted.join(mixed, "h").join(sets.select("node", *signs), "node"), "near-open")
+    erase(meets, rooted, mixed, least)
     # Under the first shingle that two sets share, what stands before it in either is in one alone: that leaves few enough to be alike at most places.
     fits = F.expr("9 * least(l.n - l.at, r.n - r.at) >= 4 * (l.n + r.n)")
-    across = open_.alias("l").join(open_.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & fits)
+    # Sets of that similarity differ in a ninth of their hashes at most, and so do their sketches: the join itself parts all others.
+    close = F.expr(f"9 * ({' + '.join(f'bit_count(l.s{k} ^ r.s{k})' for k in range(SKETCH))}) <= l.n + r.n")
+    across = open_.alias("l").join(open_.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & fits & close)
     rest = across.selectExpr("least(l.node, r.node) AS a", "greatest(l.node, r.node) AS b").distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = _alike(rest, sets, texts, most)
+    erase(open_, tried, rest)
     return stars if more.isEmpty() else components(edges.unionByName(more))
 
 
@@ -251,7 +263,7 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
     x, y = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), x.alias("x"), y.alias("y"), "text")
     marked = written(_marked(keyed, common_shingles(docs)), "near-marks")
-    one = {c: F.first(c).alias(c) for c in ("n", "f", "bitmap", "prefix")}
+    one = {c: F.first(c).alias(c) for c in ("n", "f", "bitmap", "sketch", "prefix")}
     sets = marked.groupBy("node").agg(F.min(F.struct("x", "y")).alias("row"), *one.values()).select("node", "row.x", "row.y", *one)
     sets = written(sets, "near-nodes")
     keys = written(marked.select("doc_id", "x", "y", "node"), "near-keys")

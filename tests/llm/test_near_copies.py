@@ -73,3 +73,27 @@ def test_common_shingles_go_behind_and_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "HELD", 100)
         assert len(near_copies.common_shingles(docs).keys) == 36
     assert {r["doc_id"] for r in near_copies.one_of_each(docs).collect()} == brute_force(rows)
+
+
+def test_texts_of_one_template(spark):
+    """Texts that share most of their words: some are alike, most are not, and the join itself parts them."""
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(80)]
+    rows = []
+    for i in range(240):
+        words = template.copy()
+        for k in rng.sample(range(80), 8):
+            words[k] = f"v{k}_{rng.randint(0, 3)}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"] for r in near_copies.one_of_each(docs).collect()} == brute_force(rows)
+
+
+def test_sketches_never_part_alike_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        one = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        two = np.unique(np.concatenate((one[rng.random(len(one)) > 0.1 * rng.random()], rng.integers(0, 2**63, int(0.1 * n * rng.random()), dtype=np.uint64))))
+        differ = len(np.setxor1d(one, two))
+        assert int(np.bitwise_count((near_copies.sketch(one) ^ near_copies.sketch(two)).view(np.uint64)).sum()) <= differ
