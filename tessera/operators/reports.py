@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def percentile(p: float, value: str) -> Column:
-    """Nearest rank: the value at position ceil(n p)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+from tessera.sources.tables import stored
 
 
 def exact_sum(value: str | Column) -> Column:
@@ -17,10 +14,30 @@ def exact_sum(value: str | Column) -> Column:
     return F.sum(col.cast("decimal(18,6)")).cast("double")
 
 
+def counted_ranks(rows: DataFrame, value: str, *per: str) -> DataFrame:
+    """(per, value, c, upto, total): each distinct value of a group, how often it stands there, how many rows are up to it, and in the group.
+
+    Values are counted before they are shuffled and dealt out by ranges of (group, value), so that a group of many values
+    fills many tasks. Running numbers are local to a range; what stands before it in its group comes from one row a range.
+    """
+    key = F.struct(*per, F.lit(0).alias("_")).alias("key")
+    counts = rows.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("value")).groupBy("key", "value").agg(F.count(F.lit(1)).alias("c"))
+    dealt = stored(counts.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()), "counted-values")
+    parts = dealt.groupBy("key", "part").agg(F.sum("c").alias("m"))
+    group = Window.partitionBy("key")
+    before = F.coalesce(F.sum("m").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = parts.select("key", "part", before.alias("before"), F.sum("m").over(group).alias("total"))
+    local = F.sum("c").over(Window.partitionBy("key", "part").orderBy("value"))
+    return dealt.withColumn("local", local).join(parts, ["key", "part"]).select("key", "value", "c", (F.col("before") + F.col("local")).alias("upto"), "total")
+
+
 def latency(log: DataFrame, value: str, *per: str) -> DataFrame:
-    """Number, mean, median, 95th percentile and maximum of each group."""
-    grouped = log.filter(F.col(value).isNotNull()).groupBy(*per) if per else log.filter(F.col(value).isNotNull()).groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("n"), (exact_sum(value) / F.count(F.lit(1))).alias("mean"), percentile(0.5, value).alias("p50"), percentile(0.95, value).alias("p95"), F.max(value).alias("largest"))
+    """Number, mean, median, 95th percentile and maximum of each group; a percentile is the value at place ceil(n p). Without groups and without values one row of nulls and 0."""
+    ranks = counted_ranks(log, value, *per)
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p).cast("decimal(6,4)")), F.col("value")))
+    total = F.sum(F.col("value").cast("decimal(18,6)") * F.col("c")).cast("double")
+    out = (ranks.groupBy("key") if per else ranks.groupBy()).agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("n"), total.alias("total"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("largest"))
+    return out.select(*[F.col(f"key.{c}").alias(c) for c in per], "n", F.try_divide("total", "n").alias("mean"), "p50", "p95", "largest")
 
 
 def rates(rows: DataFrame, flags: list[str], *per: str) -> DataFrame:

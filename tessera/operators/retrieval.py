@@ -141,26 +141,55 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int = 24, shortest: int = 2)
 
 
 def vector(corpus: DataFrame, queries: DataFrame, k: int = 48) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k largest positive cosines of each query vector, itself excepted.
+    """(query_id, doc_id, score, rank): the k largest positive cosines of each query vector, itself excepted; ties to the smaller doc_id.
 
-    A small query batch rides along with the corpus scan; a large one meets the corpus in as many salted parts as
-    there are shuffle partitions. Candidates are cut to k a query inside each partition before they are shuffled (the
-    window's group limit).
+    Queries go to the corpus in blocks as matrices, one for each length of vectors. A task multiplies its rows with a
+    matrix, keeps of each query the k best so far and drops what is below the last of them at once, so that it passes on k rows
+    a query at most. Vectors that are null, empty, zero or hold a null or non-finite entry take no part, nor do rows without id.
     """
-    def scaled(df: DataFrame, key: str, out: str) -> DataFrame:
-        v = as_double(F.col("embedding"))
-        return df.filter(usable(F.col("embedding"))).select(F.col(key), v.alias(out)).withColumn(
-            f"{out}_norm", F.sqrt(F.aggregate(out, F.lit(0.0), lambda s, x: s + x * x))
-        ).filter(F.col(f"{out}_norm") > 0)
-
-    n = queries.count()
-    salts = 1 if n <= BROADCAST_QUERIES else int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = scaled(queries, "query_id", "q").withColumn("size", F.size("q")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    held = scaled(corpus, "doc_id", "v").withColumn("size", F.size("v")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    pairs = held.join(small(asked, n), ["size", "salt"]).filter("query_id <> doc_id")
-    inner = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "doc_id", (inner / (F.col("q_norm") * F.col("v_norm"))).alias("score")).filter("score > 0")
-    return ranked(scored, k, "score")
+    def scaled(df: DataFrame, key: str) -> DataFrame:
+        return df.filter(usable(F.col("embedding")) & F.col(key).isNotNull()).select(key, as_double(F.col("embedding")).alias("v"))
+
+    kinds = [queries.select("query_id").schema.fields[0], corpus.select("doc_id").schema.fields[0]]
+    schema, found = T.StructType([*kinds, T.StructField("score", T.DoubleType())]), None
+    for block in _blocks(queries):
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        rows = scaled(block, "query_id").collect()
+        for size in {len(r["v"]) for r in rows}:
+            own = [r for r in rows if len(r["v"]) == size]
+            by_size[size] = ([r["query_id"] for r in own], _unit(np.array([r["v"] for r in own])))
+        shipped = corpus.sparkSession.sparkContext.broadcast(by_size)
+
+        def score(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                sizes = batch["v"].map(len).to_numpy()
+                for size, (ids, matrix) in shipped.value.items():
+                    part = batch[sizes == size]
+                    step = max(1, 4_000_000 // len(ids))
+                    for at in range(0, len(part), step):
+                        some = part.iloc[at : at + step]
+                        docs, points = some["doc_id"].to_numpy(), np.round(_unit(np.stack(some["v"].to_numpy())) @ matrix.T, 12)  # equal vectors have equal scores
+                        q, d, s = best.get(size, (np.zeros(0, dtype=np.int64), docs[:0], np.zeros(0)))
+                        number = np.bincount(q, minlength=len(ids))
+                        floor = np.where(number >= k, np.append(s, 0.0)[np.cumsum(number) - 1], 0.0)
+                        r, c = np.nonzero((points > 0) & (points >= floor) & (docs[:, None] != np.array(ids, dtype=object)[None, :]))
+                        q, d, s = np.concatenate((q, c)), np.concatenate((d, docs[r])), np.concatenate((s, points[r, c]))
+                        order = np.lexsort((np.unique(d, return_inverse=True)[1], -s, q))
+                        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+                        best[size] = q[order], d[order], s[order]
+            for size, (q, d, s) in best.items():
+                yield pd.DataFrame({"query_id": [shipped.value[size][0][i] for i in q], "doc_id": d, "score": s})
+
+        part = spread(scaled(corpus, "doc_id")).mapInPandas(score, schema)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k, "score")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1)
 
 
 def fused(lists: dict[str, DataFrame], k: int = 24, rrf_k: int = RRF_K) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.rules import compound_variants
 from tessera.functions.text import article_no, compact, tokens, whole
 
 # --- fixed values: points, weights and words -----------------------------------------------------
@@ -52,7 +53,7 @@ def question_context(questions: DataFrame, question: str = "question") -> DataFr
     for phrase in NOISE:
         probe = F.replace(probe, F.lit(phrase), F.lit(""))
     date = F.regexp_extract(whole(q), r"20[0-9]{2}[.\-/][0-9]{1,2}(?:[.\-/][0-9]{1,2})?", 0)
-    focus = F.array_except(F.col("tokens"), F.array(*[F.lit(g) for g in GENERIC]))
+    focus = F.array_except(F.array_distinct(F.concat("tokens", compound_variants(q))), F.array(*[F.lit(g) for g in GENERIC]))
     out = questions.withColumns({"wanted": compact(q), "probe": probe, "article_asked": article_no(q), "month_asked": F.substring(F.regexp_replace(date, "[^0-9]", ""), 1, 6), "tokens": tokens(q)})
     return out.withColumns({"focus": focus, **{name: F.coalesce(q.rlike(p), F.lit(False)) for name, p in CUES.items()}})
 

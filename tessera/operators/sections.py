@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +56,30 @@ def windows(files: DataFrame, key: str = "doc_id", text: str = "text", limit: in
 
 
 def packed(files: DataFrame, key: str = "doc_id", text: str = "text", limit: int = WINDOW) -> DataFrame:
-    """(key, chunk_index, n_blocks, content): blank-line or line blocks filled greedily up to ``limit`` characters.
+    """(key, chunk_index, n_blocks, content): line blocks filled greedily up to ``limit`` characters, with a line end between two.
 
-    The fill depends on what went before, so it runs as one aggregate over a document's array of blocks. A block
-    above the limit is a chunk by itself.
+    Where a chunk ends depends on where it began, so the lines of a row are filled in order, in time linear in its text. A line
+    above the limit is a chunk by itself; lines of white space alone are left out, and so are texts without others.
     """
+    schema = f"{key} {files.schema[key].dataType.simpleString()}, chunk_index int, n_blocks int, content string"
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for own, lines_ in zip(batch[key], batch["lines"], strict=True):
+                number, held, size = 0, [], 0
+                for line in lines_:
+                    if held and size + 1 + len(line) > limit:
+                        rows.append((own, number, len(held), "\n".join(held)))
+                        number, held, size = number + 1, [], 0
+                    size += len(line) + bool(held)
+                    held.append(line)
+                if held:
+                    rows.append((own, number, len(held), "\n".join(held)))
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "n_blocks", "content"])
+
     blocks = F.filter(F.transform(F.split(whole(F.col(text)), r"\n", -1), lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))), lambda b: b != "")
-    filled = F.aggregate(
-        blocks,
-        F.array().cast("array<struct<n:int,size:int,content:string>>"),
-        lambda acc, b: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["size"] + 1 + F.length(b) <= limit),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.transform(F.slice(acc, F.size(acc), F.lit(1)), lambda c: F.struct((c["n"] + 1).alias("n"), (c["size"] + 1 + F.length(b)).alias("size"), F.concat(c["content"], F.lit("\n"), b).alias("content"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(F.lit(1).alias("n"), F.length(b).alias("size"), b.alias("content"))))),
-    )
-    return files.select(F.col(key), F.posexplode(filled).alias("chunk_index", "c")).select(key, "chunk_index", F.col("c.n").alias("n_blocks"), F.col("c.content").alias("content"))
+    return files.select(key, blocks.alias("lines")).mapInPandas(fill, schema)
 
 
 def neighbours(chunks: DataFrame, key: str = "doc_id", order: str = "window_index") -> DataFrame:

@@ -37,6 +37,13 @@ def hybrid_fused(spark, sf):
     return R.fused({"lexical": R.lexical(docs, asked), "exact": R.exact(docs, asked)})
 
 
+def hybrid_three_lists(spark, sf):
+    """Lexical, exact and vector lists fused: a document's and a question's vectors are those of their numbers in embeddings."""
+    docs, asked, rows = _docs(spark, sf), _questions(spark, sf), table(spark, sf, "embeddings").select("vec_id", "embedding")
+    near = R.vector(docs.select("doc_id").join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id"), asked.select("query_id").join(rows.withColumnRenamed("vec_id", "query_id"), "query_id"))
+    return R.fused({"lexical": R.lexical(docs, asked), "exact": R.exact(docs, asked), "vector": near.withColumn("score", F.round("score", 6))})
+
+
 def diversified(spark, sf):
     """The fused lists with at most two of a source in front; the others go behind."""
     return R.capped(hybrid_fused(spark, sf).join(_docs(spark, sf).select("doc_id", "source"), "doc_id"), "source", 2, defer=True).select("query_id", "doc_id", "source", "rank", "deferred")
@@ -58,7 +65,7 @@ def token_frequencies(spark, sf):
     return document_frequency(postings(spread(_docs(spark, sf)), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_top_k, exact_matches, vector_neighbours, hybrid_fused, diversified, question_outcomes, index_statistics, token_frequencies)}
+QUERIES = {f.__name__: f for f in (lexical_top_k, exact_matches, vector_neighbours, hybrid_fused, hybrid_three_lists, diversified, question_outcomes, index_statistics, token_frequencies)}
 
 _POSTINGS = f"""
 t AS (SELECT doc_id, {TOKENS_SQL.format("text")} AS t FROM documents),
@@ -93,6 +100,12 @@ WITH pairs AS (
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score > 0 QUALIFY rank <= 48)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
     "hybrid_fused": f"WITH {_FUSED} SELECT * FROM fused_list",
+    "hybrid_three_lists": f"""WITH {_LEX}, {_EXACT},
+cosines AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id JOIN (embeddings d JOIN documents ON d.vec_id = doc_id) ON q.vec_id <> d.vec_id),
+vec AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM cosines WHERE score > 0 QUALIFY rank <= 48),
+lists AS (SELECT query_id, doc_id, 'lexical' AS list, score, rank FROM lex UNION ALL SELECT query_id, doc_id, 'exact', score, rank FROM exa UNION ALL SELECT * FROM (SELECT query_id, doc_id, 'vector', score, rank FROM vec)),
+summed AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (50 + rank)), 9) AS fused, count(*) AS n_lists, max(score) FILTER (list = 'lexical') AS lexical_score, max(score) FILTER (list = 'exact') AS exact_score, max(score) FILTER (list = 'vector') AS vector_score FROM lists GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM summed QUALIFY rank <= 24""",
     "diversified": f"""WITH {_FUSED},
 marked AS (SELECT query_id, doc_id, source, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 AS deferred FROM fused_list JOIN documents USING (doc_id))
 SELECT query_id, doc_id, source, row_number() OVER (PARTITION BY query_id ORDER BY deferred, rank) AS rank, deferred FROM marked""",

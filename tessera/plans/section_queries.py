@@ -56,7 +56,7 @@ def data_issues(spark, sf):
 
 
 def incremental_upsert(spark, sf):
-    """Documents of one language replaced by their upper-case titles."""
+    """Documents of one language replaced: their hash becomes the word changed."""
     docs = _docs(spark, sf).select("doc_id", "lang", F.md5("text").alias("h"))
     return M.upserted(docs, docs.filter("lang = 'es'").withColumn("h", F.lit("changed")), "doc_id")
 
@@ -81,6 +81,13 @@ manifest AS (SELECT source || '/' || doc_id AS path, doc_id, source, lang, sha25
 SQL = {
     "document_sections": f"WITH {_SECTIONS} SELECT doc_id, section_no, start_line, n_lines, md5(title) AS title_md5, md5(content) AS content_md5 FROM sections",
     "sliding_windows": f"WITH {_WINDOWS} SELECT doc_id, window_index, span_start, span_end, md5(content) AS content_md5, lag(window_index) OVER o AS previous, lead(window_index) OVER o AS next FROM windows WINDOW o AS (PARTITION BY doc_id ORDER BY window_index)",
+    "packed_chunks": """WITH RECURSIVE
+lines AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> '') AS ls FROM documents),
+sizes AS (SELECT doc_id, ls, list_transform(ls, lambda b: length(b)) AS ns FROM lines WHERE len(ls) > 0),
+fold AS (SELECT doc_id, ls, ns, 1 AS i, 1 AS lo, 0 AS number, ns[1] AS size, 0 AS was FROM sizes
+  UNION ALL SELECT doc_id, ls, ns, i + 1, CASE WHEN size + 1 + ns[i + 1] > 1200 THEN i + 1 ELSE lo END, CASE WHEN size + 1 + ns[i + 1] > 1200 THEN number + 1 ELSE number END, CASE WHEN size + 1 + ns[i + 1] > 1200 THEN ns[i + 1] ELSE size + 1 + ns[i + 1] END, lo FROM fold WHERE i < len(ns)),
+cuts AS (SELECT doc_id, number AS chunk_index, min(i) AS a, max(i) AS b FROM fold GROUP BY ALL)
+SELECT doc_id, chunk_index, (b - a + 1)::INTEGER AS n_blocks, length(array_to_string(ls[a:b], chr(10))) AS n_chars, md5(array_to_string(ls[a:b], chr(10))) AS content_md5 FROM cuts JOIN sizes USING (doc_id)""",
     "document_cards": f"""WITH {_SECTIONS},
 firsts AS (SELECT doc_id, title, min(section_no) AS pos FROM sections GROUP BY ALL),
 eight AS (SELECT doc_id, string_agg(title, ' | ' ORDER BY pos) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM firsts) WHERE r <= 8 GROUP BY doc_id)

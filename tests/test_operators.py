@@ -138,3 +138,81 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(at, "a", 1.0), (at, "a", 2.0)], "ts timestamp, event_type string, value double")
     got = ingest.windowed_log(events).collect()
     assert [(r["n"], r["total"]) for r in got] == [(2, 3.0)]
+
+
+def test_snapshots_keep_the_version_before(spark, tmp_path):
+    from tessera.sources.snapshots import Snapshots
+
+    schema = spark.createDataFrame([], "k long, v string").schema
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    held = lambda t, version=None: sorted(map(tuple, t.read(version).collect()), key=repr)
+    t = Snapshots(spark, str(tmp_path / "t"), schema, "k", 8)
+    assert held(t) == [] and t.change(rows()) == 0
+    assert t.write(rows(*((k, f"v{k}") for k in range(50)), (None, "none"))) == 1
+    before = t._listed(1)
+    assert t.change(rows((3, "new"), (3, "twice"), (77, "added")), rows((4, None), (99, None))) == 2
+    after = t._listed(2)
+    touched = {b for b in before if before[b] != after.get(b)}
+    assert 1 <= len(touched) <= 5 and all(before[b] == after[b] for b in set(before) - touched)  # other buckets keep their files
+    now = held(t)
+    assert (3, "new") in now and (3, "twice") in now and (4, "v4") not in now and (77, "added") in now and len(now) == 52 and (None, "none") in now
+    assert (4, "v4") in held(t, 1) and len(held(t, 1)) == 51
+    # a writer that dies between its files and the list leaves no version
+    publish, t._publish = t._publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    for write in (lambda: t.change(rows((1, "lost"))), lambda: t.write(rows())):
+        try:
+            write()
+        except OSError:
+            pass
+    t._publish = publish
+    assert held(t) == now and t.versions() == [1, 2]
+    assert t.update(spark.createDataFrame([(1, "set"), (1000, "nowhere")], "k long, v string")) == 3 and (1, "set") in held(t) and len(held(t)) == 52
+    try:
+        t._publish({}, 3)
+        raise AssertionError("a version was published twice")
+    except ValueError:
+        pass
+
+
+def test_overlay_equals_a_rebuilt_index_after_each_batch(spark, tmp_path):
+    import random
+
+    from tessera.operators import overlay, retrieval
+
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(("red", "blue", "green", "grey", "gold", "pink", "teal")) for _ in range(rng.randint(1, 6)))
+    asked = spark.createDataFrame([(1, "red gold"), (2, "teal pink blue"), (3, "nothing"), (4, "")], "query_id long, question string")
+    index, docs = overlay.OverlayIndex(spark, str(tmp_path / "index")), {}
+    for batch in range(4):
+        changes = [(k, None if rng.random() < 0.3 else text(), s) for s, k in enumerate(rng.choices(range(12), k=8))] + [(None, "red", 0)]
+        docs |= {k: t for k, t, _ in changes if k is not None}
+        frame = spark.createDataFrame(changes, "doc_id long, text string, seq int")
+        if batch == 2:  # dies between the two tables, and runs again
+            change, index.posted.change = index.posted.change, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+            try:
+                index.apply(frame, batch)
+            except OSError:
+                pass
+            index.posted.change = change
+        index.apply(frame, batch)
+        index.apply(frame, batch)  # a batch that comes twice counts once
+        live = spark.createDataFrame([(k, t) for k, t in docs.items() if t is not None], "doc_id long, text string")
+        got = {tuple(r) for r in index.search(asked).select("query_id", "doc_id", "score", "n_matched", "rank").collect()}
+        assert got == {tuple(r) for r in retrieval.lexical(live, asked).select("query_id", "doc_id", "score", "n_matched", "rank").collect()} and got
+
+
+def test_ranks_of_a_crowded_group(spark):
+    import math
+    import random
+
+    from tessera.operators import reports
+
+    rng = random.Random(1)
+    rows = [("hot", float(rng.randint(0, 4000))) for _ in range(6000)] + [("b", 1.0), ("b", 2.0), (None, 5.0), ("c", None)]
+    log = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in reports.latency(log, "v", "g").collect()}
+    for g in ("hot", "b", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert (got[g]["n"], got[g]["p50"], got[g]["p95"], got[g]["largest"]) == (len(own), own[math.ceil(len(own) * 0.5) - 1], own[math.ceil(len(own) * 0.95) - 1], own[-1])
+    assert len(got) == 3 and reports.latency(log.limit(0), "v").first()["n"] == 0
+    assert "percentile" not in reports.latency(log, "v", "g")._jdf.queryExecution().toString()
