@@ -180,3 +180,18 @@ def test_numbers_and_citations(spark):
     citations = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "a", 2), (2, "a", 0)], "answer_id long, chunk_id string, place int")
     loose = C.loose_citations(citations, spark.createDataFrame([(1, "a"), (1, "a")], "answer_id long, chunk_id string"))
     assert {tuple(r) for r in loose.collect()} == {(1, "b", 1, "not-in-evidence"), (1, "a", 2, "repeated"), (2, "a", 0, "not-in-evidence")}
+
+
+def test_alias_candidates(spark):
+    from tessera.operators import aliases
+
+    cases = {"(붙임) 2_노인 복지 안내.md": ("노인 복지 안내", False), "붙임 3_평가 기준": ("평가 기준", True), "- a_b `c`": ("a b c", True), "12": ("12", False), "2024년": ("2024년", False), "http://x.y": ("http://x.y", True), None: ("", False)}
+    got = {r["raw"]: (r["a"], r["ok"]) for r in spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", aliases.clean_alias(F.col("raw")).alias("a"), aliases.is_useful(aliases.clean_alias(F.col("raw"))).alias("ok")).collect()}
+    assert got["붙임 3_평가 기준"] == ("평가 기준", True) and got["12"][1] is False and got["2024년"][1] is False and got["http://x.y"][1] is False and got[None] == ("", False) and got["- a_b `c`"] == ("a b c", True)
+    files = spark.createDataFrame([(1, "노인 평가기준 (개정).md", "/k/1"), (2, "안내서.md", "/k/2"), (None, "lost.md", "/k/3")], "doc_id long, name string, path string")
+    chunks = spark.createDataFrame([(1, "c1", "노인 평가기준", "제1장 총칙", ["노인", "1) 방법 총정리"], "질문: 무엇인가요? 예\nx\nQ. second one"), (9, "c9", "foreign title", "foreign", None, None)], "doc_id long, chunk_id string, title string, section_title string, section_path array<string>, text string")
+    asked = spark.createDataFrame([("k1", "평가기준", "노인 평가기준은?"), ("k2", "안내서.md의 부록", "부록은 어디"), ("k3", "없는 문서", "?")], "case_id string, expected string, question string")
+    assert {tuple(r) for r in aliases.expected_documents(asked, files).collect()} == {("k1", 1), ("k2", 2)}
+    found = {(r["doc_id"], r["alias"]): (r["source"], r["score"]) for r in aliases.candidates(files, chunks, asked).collect()}
+    assert found[1, "노인 평가기준은?"] == ("benchmark-question", 1.0) and found[1, "평가기준"] == ("heading", 0.9) and found[1, "방법 총정리"] == ("heading", 0.9) and found[1, "무엇인가요? 예"] == ("qa-question", 0.85)
+    assert found[1, "second one"][0] == "qa-question" and found[2, "안내서"][0] == "heading" and not {k for k in found if k[0] not in (1, 2)} and (1, "개정") not in found
