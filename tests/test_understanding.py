@@ -195,3 +195,28 @@ def test_alias_candidates(spark):
     found = {(r["doc_id"], r["alias"]): (r["source"], r["score"]) for r in aliases.candidates(files, chunks, asked).collect()}
     assert found[1, "노인 평가기준은?"] == ("benchmark-question", 1.0) and found[1, "평가기준"] == ("heading", 0.9) and found[1, "방법 총정리"] == ("heading", 0.9) and found[1, "무엇인가요? 예"] == ("qa-question", 0.85)
     assert found[1, "second one"][0] == "qa-question" and found[2, "안내서"][0] == "heading" and not {k for k in found if k[0] not in (1, 2)} and (1, "개정") not in found
+
+
+def test_profiles_and_gates(spark):
+    from tessera.operators import grounding as G
+
+    cases = {"신규 수급자 등록 업무": ("enumeration", 48, 28, 5, 5, 4), "보호자 안내": ("checklist", 24, 22, 4, 3, 0), "비용": ("plain", 24, 18, 2, 2, 0), None: ("plain", 24, 18, 2, 2, 0)}
+    got = spark.createDataFrame([(k,) for k in cases], "q string").select("q", G.expansion_profile(F.col("q")).alias("p")).collect()
+    assert {r["q"]: tuple(r["p"]) for r in got} == cases
+    chunks = spark.createDataFrame([
+        (1, 10, 100, 0, "제3조", "alpha 상담", "계획 계약"), (2, 10, 100, 1, None, "beta", "욕구사정 평가"), (3, 20, 200, 5, None, "gamma", "x"), (4, 10, 100, 7, None, "alpha", "x"), (5, 10, 101, 0, None, "delta", "x"),
+    ], "chunk_id long, doc_id long, section_id long, window_index int, article_no string, search_text string, text string")
+    kind = "query_id long, chunk_id long, rank int, score double, exact_score double, lexical_score double, vector_score double"
+    evidence = spark.createDataFrame([(1, 1, 1, 9.0, 0.0, 0.0, 1.0), (1, 2, 2, 8.0, 0.0, 0.0, 1.0), (2, 3, 1, 9.0, 45.0, None, None), (3, 3, 1, 5.0, 0.0, 0.0, 0.0)], kind)
+    asked = spark.createDataFrame([(1, "절차 안내", "제3조", ["alpha", "none", "zero"], "high"), (2, "x", None, ["nothing"], "medium"), (3, "x", None, ["nothing"], "medium"), (4, "x", None, [], "high")], "query_id long, question string, article_asked string, focus array<string>, confidence string")
+    gates = {r["query_id"]: tuple(r)[1:] for r in G.grounding(evidence, chunks, asked).collect()}
+    assert gates == {1: (True, True, False, True, True), 2: (True, False, False, False, True), 3: (False, False, False, False, False), 4: (False, False, False, False, False)}
+    focus = {r["query_id"]: tuple(r)[1:] for r in G.focus_gate(evidence, chunks, asked).collect()}
+    assert focus == {1: (3, 1, 1, True, "high"), 2: (1, 0, 1, False, "low"), 3: (1, 0, 1, False, "low"), 4: (0, 0, 0, True, "high")}
+    more = spark.createDataFrame([(1, 1, 1, 9.0, 0.0, 0.0, 1.0), (1, 4, 3, 7.0, 0.0, 0.0, None), (1, 5, 4, 6.0, 0.0, 0.0, 1.0), (1, 3, 5, 8.5, 0.0, 0.0, 1.0)], kind)
+    said = {r["chunk_id"]: (r["selected"], r["reasons"]) for r in G.candidate_diagnostics(more, evidence, chunks, asked, ("none",)).collect()}
+    assert said == {
+        1: (True, []), 3: (False, ["generic-only-match"]), 4: (False, ["non-adjacent-window-in-selected-cluster", "lower-rerank-score-than-selected-evidence", "no-vector-signal"]),
+        5: (False, ["generic-only-match", "document-cluster-limit", "lower-rerank-score-than-selected-evidence"]),
+    }
+    assert G.reason_counts(G.candidate_diagnostics(more, evidence, chunks, asked)).count() == 5
