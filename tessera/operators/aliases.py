@@ -39,9 +39,9 @@ def is_useful(alias: Column) -> Column:
 
 
 def questions_in(text: Column) -> Column:
-    """The clean questions of lines that begin as one."""
+    """The questions of lines that begin as one, as they stand: candidates are cleaned once, where all sources meet; a second cleaning takes off one more number in front."""
     lines = F.filter(F.split(whole(text), "\r?\n", -1), lambda x: x.rlike(QUESTION))
-    asked = F.transform(lines, lambda x: clean_alias(F.concat_ws(" ", F.nullif(F.regexp_extract(x, QUESTION, 1), F.lit("")), F.nullif(F.regexp_extract(x, QUESTION, 2), F.lit("")))))
+    asked = F.transform(lines, lambda x: F.concat_ws(" ", F.nullif(F.regexp_extract(x, QUESTION, 1), F.lit("")), F.nullif(F.regexp_extract(x, QUESTION, 2), F.lit(""))))
     return F.filter(asked, lambda q: q != "")
 
 

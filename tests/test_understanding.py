@@ -197,6 +197,15 @@ def test_alias_candidates(spark):
     assert found[1, "second one"][0] == "qa-question" and found[2, "안내서"][0] == "heading" and not {k for k in found if k[0] not in (1, 2)} and (1, "개정") not in found
 
 
+def test_alias_questions_are_cleaned_once(spark):
+    from tessera.operators import aliases
+
+    files = spark.createDataFrame([(1, "안내서.md", "/k/1")], "doc_id long, name string, path string")
+    chunks = spark.createDataFrame([(1, "c1", "안내서", "", None, "Q: 12.7.6.143 Aton total?\nQ: \nq. 3) 4) rest of it?")], "doc_id long, chunk_id string, title string, section_title string, section_path array<string>, text string")
+    found = {(r["alias"], r["key"]) for r in aliases.candidates(files, chunks).filter("source = 'qa-question'").collect()}
+    assert found == {("7.6.143 Aton total?", "76143atontotal?"), ("4) rest of it?", "4restofit?")}
+
+
 def test_profiles_and_gates(spark):
     from tessera.operators import grounding as G
 
