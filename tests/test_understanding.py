@@ -102,6 +102,14 @@ def test_merging_takes_any_order(spark):
         assert tuple(O.merged_concepts(spark.createDataFrame(rows, kind).repartition(4)).first()) == ("x", "L1", "validated", 0.6, "t3", "s0", None, 20)
 
 
+def test_clean_labels_stay_in_the_manifest(spark):
+    kind = "doc_id long, place int, key string, label string, source string, confidence double"
+    found = spark.createDataFrame([(20, 1, "급여계획", "### 급여 계획", "document-text", 0.74), (30, 1, "급여계획", "급여 계획", "section-title", 0.72)], kind)
+    known = found.filter("doc_id = 20").selectExpr("label", "'promoted' AS status", "0.9D AS confidence", "'actor' AS entity_type", "'curated' AS source", "CAST(NULL AS STRING) AS status_reason")
+    assert tuple(O.manifest(found, known, cleaned=True).first()) == ("급여계획", "### 급여 계획", "promoted", 0.9, "actor", "curated", None, 3)
+    assert O.manifest(found, known).first()["label"] == "급여 계획"
+
+
 def test_expansion_stops_at_candidates_and_splits_hubs(spark):
     names = [("document:d1", "document", None), ("concept:hub", "concept", "validated"), ("concept:maybe", "concept", "candidate"), ("concept:far", "concept", None), *((f"concept:n{k}", "concept", None) for k in range(300))]
     edges = [("document:d1", "concept:hub", "r", 1.0), ("document:d1", "concept:maybe", "r", 1.0), ("concept:maybe", "concept:far", "r", 1.0), *(("concept:hub", f"concept:n{k}", "q", 0.1) for k in range(300))]
