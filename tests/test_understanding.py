@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import automaton as A
+from tessera.functions.text import compact
 from tessera.operators import claims as C
 from tessera.operators import ontology as O
 from tessera.operators import questions as U
@@ -110,6 +111,32 @@ def test_clean_labels_stay_in_the_manifest(spark):
     assert O.manifest(found, known).first()["label"] == "급여 계획"
 
 
+def test_lookup_equals_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice((1, 2, 3))))
+    wordings = [(q, " ".join(word() for _ in range(rng.choice((0, 2, 9, 30))))) for q in range(15) for _ in range(2)] + [(3, "ab, cab ab"), (4, None), (5, "뭐야 12 34")]
+    named = sorted({(f"e{rng.randrange(150)}", " ".join(word() for _ in range(rng.choice((1, 1, 2, 3, 5)))), rng.choice(("title", "name")), rng.choice((0.74, 1.15, 1.4, 0.0))) for _ in range(900)} | {("e0", "ab cab", "x", 1.0), ("e1", "뭐야 12", "x", 1.0), ("e2", "가 나", "x", 1.0)})
+    asked = spark.createDataFrame(wordings, "query_id long, text string")
+    table = spark.createDataFrame(named, "entity_id string, alias string, alias_type string, weight double").withColumn("key", compact(F.col("alias"))).repartition(3)
+    a = [tuple(r) for r in asked.select("query_id", compact(F.col("text")), O.significant(F.col("text"))).filter("query_id >= 0").collect()]
+    b = [tuple(r) for r in table.select("entity_id", "key", "alias", "weight", O.significant(F.col("alias"))).collect()]
+    best = {}
+    for q, dense, toks in a:
+        for e, key, alias, w, own in b:
+            n, least = len(set(toks) & set(own)), min(len(toks), len(own))
+            points = ([12 * w] if dense and key == dense else []) + ([6 * w] if len(key) >= 3 and key in dense else []) + ([(4 + n * 2 + n / least * 4) * w] if dense and n >= 2 and n / least >= 0.45 else [])
+            for p in points:
+                best[q, e] = min(best.get((q, e), (1, "")), (-round(p, 9), alias))
+    want = set()
+    for q in {q for q, _ in best}:
+        rows = sorted((minus, e, alias) for (k, e), (minus, alias) in best.items() if k == q)
+        want |= {(q, e, -minus, alias, k + 1) for k, (minus, e, alias) in enumerate(rows[: O.HITS])}
+    for block in (2000, 7):
+        assert {tuple(r) for r in O.lookup(asked, table, block=block).select("query_id", "entity_id", "score", "alias", "rank").collect()} == want
+    assert len({q for q, *_ in want}) > 8
+    assert O.lookup(asked.limit(0), table).count() == 0 and O.lookup(asked, table.limit(0)).count() == 0
+
+
 def test_expansion_stops_at_candidates_and_splits_hubs(spark):
     names = [("document:d1", "document", None), ("concept:hub", "concept", "validated"), ("concept:maybe", "concept", "candidate"), ("concept:far", "concept", None), *((f"concept:n{k}", "concept", None) for k in range(300))]
     edges = [("document:d1", "concept:hub", "r", 1.0), ("document:d1", "concept:maybe", "r", 1.0), ("concept:maybe", "concept:far", "r", 1.0), *(("concept:hub", f"concept:n{k}", "q", 0.1) for k in range(300))]
