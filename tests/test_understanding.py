@@ -217,6 +217,26 @@ def test_numbers_and_citations(spark):
     assert {tuple(r) for r in loose.collect()} == {(1, "b", 1, "not-in-evidence"), (1, "a", 2, "repeated"), (2, "a", 0, "not-in-evidence")}
 
 
+def test_claims_in_blocks_and_small_batches(spark):
+    """Many chunks of equal score, dealt over blocks of claims, tasks and batches: the same few are best."""
+    chunks = spark.range(400).selectExpr(
+        "id AS chunk_id", "CASE WHEN id % 3 = 0 THEN 'alpha beta' ELSE 'gamma' END AS title", "concat('sect ', id % 7) AS section_title", "'' AS labels", "CASE WHEN id % 5 = 0 THEN 'beta-alpha' END AS search_text", "'gam ma' AS text_preview",
+        "'x' AS text", "CASE WHEN id % 4 = 0 THEN 'law' WHEN id % 4 = 1 THEN 'manual' END AS source_type", "'integrated' AS mode", "CASE WHEN id % 6 = 0 THEN 'primary_evaluation' END AS source_role", "CASE WHEN id % 2 = 0 THEN '제1조' END AS article_no",
+    ).repartition(5)
+    said = [["alpha", "beta"], ["alpha!", "alpha", "sect 3"], ["gamma"], ["nowhere"], [], None, ["기준", "gamma"]]
+    claims = spark.createDataFrame([(q, "m", kind, a, ["legal"] if q % 2 else None, None) for q, (kind, a) in enumerate((k, a) for k in ("cost", "document") for a in said)], "query_id long, claim_id string, claim_type string, anchors array<string>, hints array<string>, scopes array<string>")
+    found = []
+    for block, rows in ((C.BLOCK_CLAIMS, 10_000), (3, 16)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found.append(sorted(map(tuple, C.claim_support(claims, chunks, block=block).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    best = {(r[0], r[2], r[3]) for r in found[0]}
+    assert {x for x in best if x[0] == 0} == {(0, k, 8.2) for k in (0, 12, 24, 36)} and {x for x in best if x[0] == 7} == {(7, k, 8.4) for k in (0, 12, 24, 36)} and not [x for x in best if x[0] in (3, 4, 5)]
+
+
 def test_alias_candidates(spark):
     from tessera.operators import aliases
 
