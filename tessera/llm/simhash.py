@@ -1,14 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Every distinct fingerprint is stored under each half of its 64 bits. Fingerprints that differ in at most three bits
-agree in one half up to one bit, so a look-up enumerates the Hamming ball of radius one around each half, fetches
-what is stored there and verifies the whole distance. Links join fingerprints, never documents: copies share one.
+The 64 bits of every distinct fingerprint are cut into five blocks, and it is stored under each two of them. Of five blocks
+fingerprints that differ in at most three bits share two, so they meet under one of ten keys, where the whole
+distance is verified. Links join fingerprints, never documents: copies share one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import UPPER, erase, free_name, table, written
 
 SHINGLE, BITS, SEED = 3, 3, 42
-#: A half (or part of it) under which more fingerprints are stored is divided further.
-CROWD = 64
+#: Blocks of bits, of which two make a key; a key under which more than CROWD fingerprints are stored is divided further.
+BLOCKS, CROWD = 5, 64
 ROWS_A_FILE = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -60,57 +61,43 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     return of(F.coalesce(F.col(text), F.lit("")))
 
 
-def _parts(width: int, value: Column, only_set: bool) -> Column:
-    """array<struct<which, part, near>>: the two halves of a value of ``width`` bits and, with near, the rest of the ball around each.
+def _cells(width: int, rest: Column, key: Column) -> Column:
+    """array<struct<key, rest>> for each two of the BLOCKS blocks of ``width`` open bits: a hash of key and both, and the bits still open.
 
-    Of two halves that differ in one bit, one has the bit and can look the other up: where both are stored, the part
-    of the ball with set bits cleared is enough (only_set).
+    A hash that different blocks share only brings fingerprints together that are then held against each other and differ.
     """
-    half, mask = width // 2, (1 << (width // 2)) - 1
-
-    def cell(which: int, part: Column, near: bool) -> Column:
-        return F.struct(F.lit(which).alias("which"), part.alias("part"), F.lit(near).alias("near"))
-
+    size = -(-width // BLOCKS)
+    blocks = [F.shiftrightunsigned(rest, size * k).bitwiseAND(F.lit((1 << size) - 1)) for k in range(BLOCKS)]
     out = []
-    for which in (0, 1):
-        part = F.shiftrightunsigned(value, half * which).bitwiseAND(F.lit(mask))
-        bits = F.filter(F.sequence(F.lit(0), F.lit(half - 1)), lambda b: F.getbit(part, b) >= int(only_set))  # noqa: B023
-        out.append(F.array(cell(which, part, False)))
-        out.append(F.transform(bits, lambda b: cell(which, part.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)), True)))  # noqa: B023
-    return F.concat(*out)
+    for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
+        others = [F.shiftleft(b, size * at) for at, b in enumerate(blocks[k] for k in range(BLOCKS) if k not in (i, j))]
+        left = others[0].bitwiseOR(others[1]).bitwiseOR(others[2])
+        out.append(F.struct(F.xxhash64(key, F.lit(n), blocks[i], blocks[j]).alias("key"), left.alias("rest")))
+    return F.array(*out)
 
 
 def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints ``f`` in marks that differ in at most ``bits`` bits (up to 3).
 
-    The first round looks up halves of 32 bits. Parts under which more than CROWD fingerprints are stored go to
-    another round, where the part is kept and the other bits are halved again: 16, then 8. What is left to one key
-    then differs in 8 bits only, so no key ever holds more than 256 fingerprints.
+    The first round stores each fingerprint under ten keys of 25 or 26 bits. Keys under which more than CROWD fingerprints are
+    stored go to another round, where the key is kept and the other bits, 39, 24, 15 and 9 of them, are cut again. What is left to
+    one key then differs in 6 bits only, so no key ever holds more than 64 fingerprints. A row between tasks is two longs.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("two halves with a ball of radius one find distances up to 3")
-    spots = marks.select("f", F.array().cast("array<bigint>").alias("key"), F.col("f").alias("rest"), F.lit(False).alias("moved"))
-    found = None
-    for width in (64, 32, 16):
-        half = width // 2
-        # key: the parts agreed on; rest: the bits not yet looked at; moved: reached through a cleared bit, so not stored here
-        other = F.when(F.col("p.which") == 0, F.shiftrightunsigned("rest", half)).otherwise(F.col("rest")).bitwiseAND(F.lit((1 << half) - 1))
-        cells = spots.select("f", "key", "rest", "moved", F.explode(_parts(width, F.col("rest"), width == 64)).alias("p")).select(
-            "f",
-            F.concat("key", F.array(F.col("p.which").cast("long"), F.col("p.part"))).alias("key"),
-            other.alias("rest"),
-            (F.col("moved") | F.col("p.near")).alias("moved"),
-        )
-        crowds = cells.filter("NOT moved").groupBy("key").count().filter(F.col("count") > CROWD).select("key") if half > 8 else None
-        small = cells if crowds is None else cells.join(crowds, "key", "left_anti")
-        stored = small.filter("NOT moved").select("key", F.col("f").alias("g"))
-        near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= bits
-        pairs = small.join(stored, "key").filter((F.col("f") != F.col("g")) & near).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"))
+    if not 0 <= bits <= BLOCKS - 2:
+        raise ValueError("two of five blocks are alike at distances up to 3")
+    spots, found, width = marks.select("f", F.lit(0).cast("long").alias("key"), F.col("f").alias("rest")), None, 64
+    while spots is not None:
+        cells = spots.select("f", F.inline(_cells(width, F.col("rest"), F.col("key"))))
+        left = 3 * -(-width // BLOCKS)
+        small, spots, width = cells.select("key", "f"), None, left
+        if 1 << left > CROWD:
+            crowds = written(cells.groupBy("key").count().filter(F.col("count") > CROWD).select("key"), "simhash-crowds")
+            if not crowds.isEmpty():
+                small = small.join(crowds, "key", "left_anti")
+                spots = written(cells.join(crowds, "key", "left_semi").select("f", "key", "rest"), "simhash-spots")
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+        pairs = small.withColumnRenamed("f", "a").join(small.withColumnRenamed("f", "b"), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        if crowds is not None:
-            spots = written(cells.join(crowds, "key", "left_semi"), "simhash-crowds")
-            if spots.isEmpty():
-                break
     return found.distinct()
 
 

@@ -231,6 +231,17 @@ def test_simhash_links_in_crowds(spark):
     assert {frozenset(p) for p in got} == want and len(got) == len(want)
 
 
+def test_simhash_rows_between_tasks(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(50)]
+    prints = base + [b ^ sum(1 << k for k in rng.sample(range(64), 3)) for b in base]
+    marks = spark.createDataFrame([((f ^ 1 << 63) - (1 << 63),) for f in prints], "f long")
+    cells = marks.select("f", F.inline(simhash._cells(64, F.col("f"), F.lit(0).cast("long")))).collect()
+    assert len(cells) == 10 * len(prints)
+    keys = {f: {r["key"] for r in cells if r["f"] % 2**64 == f} for f in prints}
+    assert all(keys[a] & keys[b] for a, b in zip(prints[:50], prints[50:], strict=True))
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
