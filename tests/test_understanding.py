@@ -284,3 +284,15 @@ def test_profiles_and_gates(spark):
         5: (False, ["generic-only-match", "document-cluster-limit", "lower-rerank-score-than-selected-evidence"]),
     }
     assert G.reason_counts(G.candidate_diagnostics(more, evidence, chunks, asked)).count() == 5
+
+
+def test_places_leave_a_task_in_pieces(spark):
+    taken = []
+    parts = A.pieces((taken.append(k) or (k, "w") for k in range(7)), ["doc_id", "expression"], 3)
+    assert len(next(parts)) == 3 and len(taken) == 3  # no more rows are made than go out
+    assert [len(p) for p in parts] == [3, 1] and list(A.pieces(iter(()), ["a"])) == []
+    n = A.ROWS_AT_ONCE + 5
+    texts = spark.createDataFrame([(1, "ab" * n), (2, None), (3, "b")], "doc_id long, text string")
+    found = A.occurrences(texts, spark.createDataFrame([("a",), ("ab",)], "expression string"))
+    got = {(r["doc_id"], r["expression"], r["n"], r["first"], r["last"]) for r in found.groupBy("doc_id", "expression").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("stop").alias("last")).collect()}
+    assert got == {(1, "a", n, 0, 2 * n - 1), (1, "ab", n, 0, 2 * n)}
