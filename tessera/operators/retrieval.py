@@ -22,6 +22,8 @@ from tessera.sources.tables import spread, stored
 RRF_K = 50
 #: Tables of queries and of their words up to so many (counted) rows ride along in every task; beyond it they are shuffled or taken in blocks.
 BROADCAST_QUERIES = 10_000
+#: Scores of texts and queries that a task holds at once; a task's memory follows from it.
+CELLS = 500_000
 
 
 def small(queries: DataFrame, n: int) -> DataFrame:
@@ -166,7 +168,7 @@ def vector(corpus: DataFrame, queries: DataFrame, k: int = 48) -> DataFrame:
                 sizes = batch["v"].map(len).to_numpy()
                 for size, (ids, matrix) in shipped.value.items():
                     part = batch[sizes == size]
-                    step = max(1, 4_000_000 // len(ids))
+                    step = max(1, CELLS // len(ids))
                     for at in range(0, len(part), step):
                         some = part.iloc[at : at + step]
                         docs, points = some["doc_id"].to_numpy(), np.round(_unit(np.stack(some["v"].to_numpy())) @ matrix.T, 12)  # equal vectors have equal scores

@@ -216,3 +216,13 @@ def test_ranks_of_a_crowded_group(spark):
         assert (got[g]["n"], got[g]["p50"], got[g]["p95"], got[g]["largest"]) == (len(own), own[math.ceil(len(own) * 0.5) - 1], own[math.ceil(len(own) * 0.95) - 1], own[-1])
     assert len(got) == 3 and reports.latency(log.limit(0), "v").first()["n"] == 0
     assert "percentile" not in reports.latency(log, "v", "g")._jdf.queryExecution().toString()
+
+
+def test_vector_lists_in_small_steps(spark, monkeypatch):
+
+    rows = [(k, [float((k * 7 + d * 3) % 11 - 5) for d in range(4)]) for k in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    asked = corpus.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, retrieval.vector(corpus, asked, k=5).collect()))
+    monkeypatch.setattr(retrieval, "CELLS", 18)  # three texts at once
+    assert len(want) == 30 and sorted(map(tuple, retrieval.vector(corpus, asked, k=5).collect())) == want
