@@ -11,6 +11,8 @@ from collections.abc import Iterator, Sequence
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,19 +46,24 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
 def question_index(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
     """(doc_id, n_tokens, held): of every text the places in ``words`` of the words that it holds, as a table.
 
-    The corpus is cut into tokens once; what no query asks for is gone before anything is written.
+    The corpus is cut into tokens once; what no query asks for is gone before anything is written. Tokens stay Arrow
+    buffers in a task: as Python strings those of a batch took most of its memory.
     """
-    number = corpus.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    shipped = corpus.sparkSession.sparkContext.broadcast(list(words))
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = number.value.get
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(shipped.value, pa.string())
         for batch in batches:
-            held = [[k for k in map(place, own) if k is not None] for own in batch["tokens"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(own) for own in batch["tokens"]], "held": held})
+            listed = batch.column("tokens")
+            ends, own = listed.offsets.to_numpy(), listed.flatten()
+            place = pc.index_in(own, value_set=asked.cast(own.type))
+            before = np.concatenate(([0], np.cumsum(place.is_valid().to_numpy(zero_copy_only=False))))
+            held = pa.ListArray.from_arrays(pa.array(before[ends - ends[0]], pa.int32()), place.drop_null())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int32()), held], ["doc_id", "n_tokens", "held"])
 
     listed = spread(corpus.filter("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens"))
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    return stored(listed.mapInPandas(kept, f"doc_id {kind}, n_tokens int, held array<int>"), "question-index")
+    return stored(listed.mapInArrow(kept, f"doc_id {kind}, n_tokens int, held array<int>"), "question-index")
 
 
 def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
@@ -84,7 +91,7 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
 
         def score(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             ids, ends, query, weight = shipped.value
-            rows = max(1, 2_000_000 // max(1, len(ids)))
+            rows = max(1, CELLS // max(1, len(ids)))
             for batch in batches:
                 for at in range(0, len(batch), rows):
                     part = batch.iloc[at : at + rows]
