@@ -71,7 +71,7 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
 
     The queries, in parts of bounded size, go to the texts as lists of (query, idf) by token; a task adds up what each of its
     texts scores for all queries and passes on the k best of each query, so no pair of query and text is shuffled that
-    can't be among them. Texts without id take no part.
+    can't be among them. Texts without id take no part. The lists are a table: however often a plan reads them, the texts are passed once.
     """
     n, found = corpus.count(), None
     kinds = [corpus.select("doc_id").schema[0], queries.select("query_id").schema[0]]
@@ -109,7 +109,7 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int = 24) -> DataFrame:
 
         part = index.mapInPandas(score, schema)
         found = part if found is None else found.unionByName(part)
-    return ranked(found.select("query_id", "doc_id", "score", "n_matched"), k, "score")
+    return stored(ranked(found.select("query_id", "doc_id", "score", "n_matched"), k, "score"), "lexical-lists")
 
 
 def ranked(scored: DataFrame, k: int, *by: str, per: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -122,7 +122,7 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int = 24, shortest: int = 2)
     """Texts that contain a query's whole wording, white space and signs aside: 28 points, 12 more in the same spelling.
 
     Every wording of at least ``shortest`` characters is looked for at every place of every text: the wordings of up to BROADCAST_QUERIES queries
-    form one automaton that passes over a compact text once. Larger batches of queries are taken in blocks.
+    form one automaton that passes over a compact text once. Larger batches of queries are taken in blocks. The lists are a table.
     """
     asked = queries.select("query_id", "question", compact(F.col("question")).alias("wanted")).filter(F.length("wanted") >= shortest)
     kind = corpus.select("doc_id").schema.fields + asked.select("query_id").schema.fields
@@ -146,7 +146,7 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int = 24, shortest: int = 2)
 
         part = texts.mapInPandas(search, schema)
         found = part if found is None else found.unionByName(part)
-    return ranked(found.select("query_id", "doc_id", "score"), k, "score")
+    return stored(ranked(found.select("query_id", "doc_id", "score"), k, "score"), "exact-lists")
 
 
 def vector(corpus: DataFrame, queries: DataFrame, k: int = 48) -> DataFrame:

@@ -62,8 +62,9 @@ def miss_classes(spark, sf):
     docs, asked = Q._docs(spark, sf), Q._questions(spark, sf)
     exact = R.exact(docs, asked)
     first = exact.filter("rank = 1").select("query_id", F.col("doc_id").alias("expected"))
-    place = R.fused({"lexical": R.lexical(docs, asked), "exact": exact}).join(first, "query_id").filter("doc_id = expected").select("query_id", "rank")
-    cases = Q.question_outcomes(spark, sf).select("query_id", "confidence").join(first, "query_id", "left").join(place, "query_id", "left")
+    fused = R.fused({"lexical": R.lexical(docs, asked), "exact": exact})
+    place = fused.join(first, "query_id").filter("doc_id = expected").select("query_id", "rank")
+    cases = Q.question_outcomes(spark, sf, fused).select("query_id", "confidence").join(first, "query_id", "left").join(place, "query_id", "left")
     rank = F.coalesce("rank", F.lit(999))
     top3, top5 = rank <= 3, rank <= 5
     kind = F.when(top3, "hit").otherwise(G.miss_class(top3, top5, F.col("expected").isNull(), F.col("confidence"), rank < 999))

@@ -226,3 +226,12 @@ def test_vector_lists_in_small_steps(spark, monkeypatch):
     want = sorted(map(tuple, retrieval.vector(corpus, asked, k=5).collect()))
     monkeypatch.setattr(retrieval, "CELLS", 18)  # three texts at once
     assert len(want) == 30 and sorted(map(tuple, retrieval.vector(corpus, asked, k=5).collect())) == want
+
+
+def test_lists_pass_the_texts_once(spark, monkeypatch):
+    from tessera.plans import rule_queries
+
+    folder, made, own = "/root/testdata/sf0.001", [], retrieval.question_index
+    monkeypatch.setattr(retrieval, "question_index", lambda *a: made.append(1) or own(*a))
+    out = rule_queries.miss_classes(spark, folder)
+    assert len(made) == 1 and "MapInPandas" not in out._jdf.queryExecution().toString()
