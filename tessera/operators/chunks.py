@@ -11,12 +11,11 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import QUALIFIERS
-from tessera.functions.text import article_no, normalised_space, whole
+from tessera.functions.text import article_no, normalised_space, one_blank, whole
 
 # --- fixed values: sizes in characters and patterns that decide results -------------------------
 LIMIT, PROTECTED_LIMIT, OVERLAP, PROBE, EXTENSION, PREVIEW = 1200, 2400, 120, 160, 600, 220
@@ -35,12 +34,14 @@ CUE = "체크리스트|지침|확인|예방|교육|안내|필수|점검|서류|
 DEPTHS = {"law-heading": 3, "law-appendix": 2, "qa-boundary": 4, "evaluation-subheading": 4, "numbered-subheading": 4}
 # ------------------------------------------------------------------------------------------------
 QUALIFIER = "|".join(f"(?:{p})" for patterns in QUALIFIERS.values() for p in patterns)
-BLANK = r"[\s\u000b   -     　﻿]"
+#: White space of any script; what Python's strip takes away.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+STRIPPED = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 WINDOWS = "window_index int, text string, span_start int, span_end int, list_group_id string, contains_checklist boolean"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _law_line(text: Column) -> Column:
@@ -55,63 +56,72 @@ def boundary_kind(bare: Column) -> Column:
 
 
 def section_lines(files: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title", policy: str = "chunk_policy") -> DataFrame:
-    """One row a line that belongs to a section, normalised, with its section and block.
+    """One row a line, normalised, with its section, what the section begins with, and its place there; files without key have none.
 
     A list item beside another one begins nothing. In files of policy ``qa`` an answer stays with its question. Lines
-    that only hold white space before and after a section's text are left out, and so are empty lines behind an empty one.
+    that only hold white space before a section's text and empty lines behind an empty one are marked as gone.
+    All patterns are looked at before the only shuffle; behind it a line passes three windows over its document's order.
     """
-    lines = files.select(key, F.col(title).alias("doc_title"), F.col(policy).alias("policy"), F.posexplode(F.split(F.replace(whole(F.col(text)), F.lit("\r\n"), F.lit("\n")), "\n", -1)).alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"[ \t]+", " ")).withColumn("bare", stripped(F.col("raw")))
+    name = F.col(title)
+    docs = files.filter(F.col(key).isNotNull()).select(
+        key, (F.col(policy) == "qa").alias("qa"), stripped(name).rlike(QUESTION).alias("asked_first"), article_no(name).isNotNull().alias("in_article"), _law_line(name).alias("lawful_title"),
+        name.alias("doc_title"), F.explode(F.array(F.split(F.replace(whole(F.col(text)), F.lit("\r\n"), F.lit("\n")), "\n", -1))).alias("raws"),
+    )
+    lines = docs.select(key, "qa", "asked_first", "in_article", "lawful_title", "doc_title", F.posexplode("raws").alias("line_no", "raw"))
+    lines = lines.withColumns({"line": one_blank(F.col("raw")), "bare": stripped(F.col("raw"))})
+    code = F.ascii("bare")
+    # no list item and no boundary begins with a Latin letter but Q: most lines are spared the patterns
+    lines = lines.withColumn("word", (code.between(65, 90) | code.between(97, 122)) & ~code.isin(81, 113))
+    lines = lines.withColumns({
+        "blank": F.col("bare") == "", "empty": F.col("line") == "", "item": ~F.col("word") & F.col("bare").rlike(LIST_ITEM), "row": F.startswith("bare", F.lit("|")) & F.col("bare").rlike(TABLE_ROW),
+        "sort": F.when((F.col("bare") != "") & ~F.col("word"), boundary_kind(F.col("bare"))), "ahead": F.length("line") - F.length(F.ltrim("line", F.lit(BLANKS))), "full": F.length(F.rtrim("line", F.lit(BLANKS))),
+    })
+    marked = F.col("sort") == "markdown-heading"
+    lines = lines.withColumn("heading", F.when(marked, stripped(F.regexp_extract("bare", HEADING, 2))).when(F.col("sort").isNotNull(), F.col("bare")))
+    lines = lines.withColumns({
+        "level": F.when(marked, F.length(F.regexp_extract("bare", HEADING, 1))), "answer": F.coalesce((F.col("sort") == "qa-boundary") & F.col("heading").rlike(ANSWER), F.lit(False)),
+        "question": F.col("heading").rlike(QUESTION), "lawful_here": F.when(F.col("sort").isNotNull(), article_no(F.col("heading")).isNotNull() | _law_line(F.col("heading"))),
+        "law_line": F.coalesce(F.col("sort").isin("law-heading", "law-appendix"), F.lit(False)),
+        "doc_title": F.when(F.col("line_no") == 0, F.col("doc_title")),  # one line carries it through the shuffle
+    }).drop("raw", "bare", "word")
     order = Window.partitionBy(key).orderBy("line_no")
     until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("item", F.col("bare").rlike(LIST_ITEM))
-    beside = F.col("item") & (F.coalesce(F.lag("item").over(order), F.lit(False)) | F.coalesce(F.lead("item").over(order), F.lit(False)))
-    lines = lines.withColumn("kind", F.when(~beside & (F.col("bare") != ""), boundary_kind(F.col("bare"))))
-    marked = F.col("kind") == "markdown-heading"
-    lines = lines.withColumn("heading", F.when(marked, stripped(F.regexp_extract("bare", HEADING, 2))).when(F.col("kind").isNotNull(), F.col("bare")))
-    answer = F.coalesce((F.col("kind") == "qa-boundary") & F.col("heading").rlike(ANSWER), F.lit(False))
-    lines = lines.withColumn("answer", answer)
-    asked = F.last(F.when(F.col("kind").isNotNull() & ~F.col("answer"), F.col("heading").rlike(QUESTION)), ignorenulls=True).over(before)
-    held = F.col("answer") & (F.col("policy") == "qa") & F.coalesce(asked, stripped(F.col("doc_title")).rlike(QUESTION))
-    lines = lines.withColumn("opens", F.col("kind").isNotNull() & ~held)
-    depth = F.when(F.col("opens") & marked, F.length(F.regexp_extract("bare", HEADING, 1)))
-    lines = lines.withColumn("depth", depth).withColumn("section_no", F.sum(F.col("opens").cast("int")).over(until))
-    for k in range(1, 7):
-        lines = lines.withColumn(f"h{k}", F.last(F.when(F.col("depth") == k, F.struct("line_no", "heading")), ignorenulls=True).over(until))
+    no = F.lit(False)
+    lines = lines.withColumns({
+        "beside": F.coalesce(F.lag("item").over(order), no) | F.coalesce(F.lead("item").over(order), no), "behind_blank": F.coalesce(F.lag("blank").over(order), no),
+        "behind_empty": F.coalesce(F.lag("empty").over(order), no), "seen": F.coalesce(F.max(~F.col("blank")).over(before), no),
+    })
+    lines = lines.withColumn("kind", F.when(~(F.col("item") & F.col("beside")), F.col("sort")))
+    asked = F.last(F.when(F.col("kind").isNotNull() & ~F.col("answer"), F.col("question")), ignorenulls=True).over(before)
+    lines = lines.withColumn("held", F.col("answer") & F.col("qa") & F.coalesce(asked, F.col("asked_first")))
+    lines = lines.withColumn("opens", F.col("kind").isNotNull() & ~F.col("held")).withColumn("first", F.col("opens") | (~F.col("blank") & ~F.col("seen")))
+    lines = lines.withColumns({
+        "line": F.when(F.col("first"), F.ltrim("line", F.lit(BLANKS))).otherwise(F.col("line")), "full": F.when(F.col("first"), F.col("full") - F.col("ahead")).otherwise(F.col("full")),
+        "ahead": F.when(F.col("first"), 0).otherwise(F.col("ahead")), "gone": (F.col("blank") & ~F.col("seen")) | (F.col("empty") & F.col("behind_empty")), "depth": F.when(F.col("opens"), F.col("level")),
+    })
+    lines = lines.withColumns({
+        "section_no": F.sum(F.col("opens").cast("int")).over(until), "lawful": F.last(F.when(F.col("opens"), F.col("lawful_here")), ignorenulls=True).over(until),
+        "offset": F.coalesce(F.sum(F.when(F.col("gone"), 0).otherwise(F.length("line") + 1)).over(before), F.lit(0)).cast("int"), "doc_title": F.first("doc_title", ignorenulls=True).over(until),
+        **{f"h{k}": F.last(F.when(F.col("depth") == k, F.struct("line_no", "heading")), ignorenulls=True).over(until) for k in range(1, 7)},
+    })
+    lawful = F.col("in_article") | F.coalesce("lawful", "lawful_title")
+    begins = F.when(F.col("first"), True).when(lawful, F.col("law_line")).otherwise(~F.col("blank") & F.col("behind_blank"))
     trail, closed = [], F.lit(-1)
     for k in range(1, 7):
         trail.append(F.when(F.col(f"h{k}.line_no") > closed, F.col(f"h{k}.heading")))
         closed = F.greatest(closed, F.coalesce(F.col(f"h{k}.line_no"), F.lit(-1)))
-    own = F.when(F.col("opens") & ~marked, F.col("heading"))
-    lines = lines.withColumn("trail", F.when(F.col("opens"), F.array_compact(F.array("doc_title", *trail, own))))
-    return _numbered_blocks(lines, key)
+    own = F.when(F.col("opens") & F.col("level").isNull(), F.col("heading"))
+    path = F.when(F.col("opens"), F.array_compact(F.array("doc_title", *trail, own))).otherwise(F.array("doc_title"))
+    head = F.struct(F.coalesce(F.when(F.col("opens"), F.col("kind")), F.lit("document-root")).alias("reason"), F.when(F.col("opens"), F.col("heading")).otherwise(F.col("doc_title")).alias("section_title"), path.alias("section_path"), "doc_title", lawful.alias("lawful"))
+    return lines.select(key, "section_no", "line_no", "line", "blank", "item", "row", "offset", "ahead", "full", begins.alias("begins"), "gone", F.when(F.col("first"), head).alias("head"))
 
 
-def _numbered_blocks(lines: DataFrame, key: str) -> DataFrame:
-    """lines with the section's own columns, the offset in its content and block_no; null where a line is in no block."""
-    whole_section = Window.partitionBy(key, "section_no")
-    order = whole_section.orderBy("line_no")
-    lines = lines.withColumns({
-        "reason": F.coalesce(F.max(F.when(F.col("opens"), F.col("kind"))).over(whole_section), F.lit("document-root")),
-        "section_title": F.coalesce(F.max(F.when(F.col("opens"), F.col("heading"))).over(whole_section), F.col("doc_title")),
-        "section_path": F.coalesce(F.max("trail").over(whole_section), F.array("doc_title")),
-        "line_start": F.min("line_no").over(whole_section) + 1, "line_end": F.max("line_no").over(whole_section) + 1,
-        "first": F.min(F.when(F.col("bare") != "", F.col("line_no"))).over(whole_section), "last": F.max(F.when(F.col("bare") != "", F.col("line_no"))).over(whole_section),
-    }).filter(F.col("line_no").between(F.col("first"), F.col("last")))
-    lines = lines.withColumn("article_no", F.coalesce(article_no(F.col("section_title")), article_no(F.col("doc_title"))))
-    lines = lines.withColumn("double", F.coalesce((F.col("line") == "") & (F.lag("line").over(order) == ""), F.lit(False))).filter(~F.col("double"))
-    line = F.when(F.col("line_no") == F.col("first"), F.regexp_replace("line", f"^{BLANK}+", "")).otherwise(F.col("line"))
-    line = F.when(F.col("line_no") == F.col("last"), F.regexp_replace(line, f"{BLANK}+$", "")).otherwise(line)
-    lines = lines.withColumn("line", line)
-    running = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(running), F.lit(0)).cast("int"))
-    lawful = F.col("article_no").isNotNull() | _law_line(F.col("section_title"))
-    blank, behind = F.col("bare") == "", F.lag("bare").over(order)
-    begins = F.when(behind.isNull(), True).when(lawful, _law_line(F.col("bare"))).otherwise(~blank & (behind == ""))
-    lines = lines.withColumn("lawful", lawful).withColumn("begins", begins.cast("int"))
-    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("block_no", F.when(~blank | F.col("lawful"), F.sum("begins").over(until)))
+def block_text(text: Column, last: Column) -> Column:
+    """normalised_space of lines, which hold no runs of blanks; the last block of a section ends where its text does."""
+    odd = text.contains("\r") | text.contains("\n\n\n")
+    own = F.when(odd, normalised_space(text)).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
+    return F.when(last, F.rtrim(own, F.lit(BLANKS))).otherwise(own)
 
 
 SECTION = ("line_start", "line_end", "reason", "section_title", "section_path", "article_no")
@@ -121,27 +131,38 @@ def section_blocks(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, section_no, SECTION columns, content, blocks): blocks in order, each with text, its span in content, whether it is protected or holds a checklist, and its list's id.
 
     Paragraphs are what blank lines part, and two list or table lines make one protected. In a section under an article
-    a block begins at each article, appendix or attachment line.
+    a block begins at each article, appendix or attachment line. A section's lines are gathered once; its blocks are slices of them.
     """
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    full = F.col("bare") != ""
-    blocks = lines.filter("block_no IS NOT NULL").groupBy(key, "section_no", "block_no").agg(
-        F.max("lawful").alias("lawful"), normalised_space(ordered).alias("text"), F.sum(F.col("bare").rlike(LIST_ITEM).cast("int")).alias("items"), F.sum(F.col("bare").rlike(TABLE_ROW).cast("int")).alias("rows"),
-        F.min(F.when(full, F.col("offset") + F.length("line") - F.length(F.regexp_replace("line", f"^{BLANK}+", "")))).alias("span_start"),
-        F.max(F.when(full, F.col("offset") + F.length(F.regexp_replace("line", f"{BLANK}+$", "")))).alias("span_end"), F.max(F.col("offset") + F.length("line") + 1).alias("next_at"),
-    ).filter("text <> ''")
-    protected = ~F.col("lawful") & ((F.col("items") >= 2) | (F.col("rows") >= 2))
-    blocks = blocks.withColumn("protected", protected).withColumn("checklist", ~F.col("lawful") & (F.col("protected") | F.col("text").rlike(CUE) | F.col("text").rlike(QUALIFIER)))
-    blocks = blocks.withColumn("list_group_id", F.when(F.col("protected"), F.sha1(F.concat_ws(":", "span_start", "text"))))
-    packed = blocks.groupBy(key, "section_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "text", "span_start", "span_end", "protected", "checklist", "list_group_id", "lawful", "next_at"))).alias("blocks"))
-    sections = lines.groupBy(key, "section_no").agg(*(F.max(c).alias(c) for c in SECTION), ordered.alias("content"))
-    law_end = lambda b, n: F.least(b["next_at"], n)
-    out = sections.join(packed, [key, "section_no"])
-    n = F.length("content")
-    return out.withColumn("blocks", F.transform("blocks", lambda b: F.struct(
-        b["text"].alias("text"), b["span_start"].alias("span_start"), F.when(b["lawful"], F.greatest(b["span_end"], law_end(b, n))).otherwise(b["span_end"]).alias("span_end"),
-        b["protected"].alias("protected"), b["checklist"].alias("checklist"), b["list_group_id"].alias("list_group_id"),
-    )))
+    line = F.struct("line_no", "line", "blank", "item", "row", "offset", "ahead", "full", "begins", "head")
+    out = lines.groupBy(key, "section_no").agg((F.min("line_no") + 1).alias("line_start"), (F.max("line_no") + 1).alias("line_end"), F.sort_array(F.collect_list(F.when(~F.col("gone"), line))).alias("held"))
+    n = F.coalesce(F.array_max(F.transform("held", lambda x, i: F.when(~x["blank"], i + 1))), F.lit(0))
+    starts = F.array_compact(F.transform("held", lambda x, i: F.when(x["begins"], i + 1)))
+    content = F.btrim(F.array_join(F.transform("held", lambda x: x["line"]), "\n"), F.lit(BLANKS))
+    # behind a generator, here and below, so that what reads a list doesn't make it again
+    out = out.select("*", F.inline(F.array(F.struct(n.alias("n"), starts.alias("starts"), content.alias("content"), F.length(content).alias("size"), F.get("held", F.lit(0)).alias("first"))))).filter("n > 0")
+    out = out.select(
+        key, "section_no", "line_start", "line_end", "first.head.reason", "first.head.section_title", "first.head.section_path",
+        F.coalesce(article_no(F.col("first.head.section_title")), article_no(F.col("first.head.doc_title"))).alias("article_no"), F.col("first.head.lawful").alias("lawful"), "held", "n", F.col("first.offset").alias("base"), "starts", "content", "size",
+    )
+    lawful, last = F.col("lawful"), F.size("starts") - 1
+    parts = F.transform("starts", lambda at, j: F.slice("held", at, F.coalesce(F.get("starts", j + 1), F.col("n") + 1) - at))
+    blocks = F.transform(parts, lambda part, j: F.struct(F.filter(part, lambda x: lawful | ~x["blank"]).alias("own"), (j == last).alias("last")))
+    blocks = F.transform(blocks, lambda b: F.struct(
+        F.array_join(F.transform(b["own"], lambda x: x["line"]), "\n").alias("text"), b["last"].alias("last"), F.element_at(b["own"], 1).alias("first"), F.element_at(b["own"], -1).alias("end"),
+        F.array_max(F.transform(b["own"], lambda x: F.when(~x["blank"], x["offset"] + x["full"]))).alias("span_end"),
+        ((F.size(F.filter(b["own"], lambda x: x["item"])) >= 2) | (F.size(F.filter(b["own"], lambda x: x["row"])) >= 2)).alias("listed"),
+    ))
+    base = F.col("base")
+    blocks = F.transform(blocks, lambda b: F.struct(
+        block_text(b["text"], b["last"]).alias("text"), (b["first"]["offset"] + b["first"]["ahead"] - base).alias("span_start"),
+        F.when(lawful, F.greatest(b["span_end"] - base, F.least(b["end"]["offset"] + F.length(b["end"]["line"]) + 1 - base, F.col("size")))).otherwise(b["span_end"] - base).alias("span_end"),
+        (~lawful & b["listed"]).alias("protected"),
+    ))
+    blocks = F.transform(F.filter(blocks, lambda b: b["text"] != ""), lambda b: F.struct(
+        b["text"].alias("text"), b["span_start"].alias("span_start"), b["span_end"].alias("span_end"), b["protected"].alias("protected"),
+        (~lawful & (b["protected"] | b["text"].rlike(f"(?=[가-힣0-9])(?:{CUE}|{QUALIFIER})"))).alias("checklist"), F.when(b["protected"], F.sha1(F.concat_ws(":", b["span_start"], b["text"]))).alias("list_group_id"),
+    ))
+    return out.select(key, "section_no", *SECTION, "content", F.explode(F.array(blocks)).alias("blocks")).filter(F.size("blocks") > 0)
 
 
 def _pieces(block: dict) -> Iterator[dict]:
@@ -191,22 +212,23 @@ def windows_of(blocks: Iterable[dict]) -> Iterator[tuple]:
 
 
 def section_windows(sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """section_blocks' rows with a row for each window: WINDOWS beside the section's columns; the text begins with the section's title."""
-    kept = [key, "section_no", *SECTION]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sections.select(*kept).schema), WINDOWS])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at, rows = [], []
-            for k, blocks in enumerate(batch["blocks"]):
-                for row in windows_of(blocks):
-                    at.append(k)
-                    rows.append(row)
-            out = batch[kept].iloc[at].reset_index(drop=True)
-            made = pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")])
-            yield pd.concat([out, made], axis=1)
-
-    windows = sections.select(*kept, "blocks").mapInPandas(fold, schema)
+    """section_blocks' rows with a row for each window: WINDOWS beside the section's columns; the text begins with the section's title.
+
+    Blocks that are no longer than LIMIT together are one window, which needs no fold.
+    """
+    kept = [c for c in sections.columns if c not in ("content", "blocks")]
+    size = F.aggregate("blocks", F.lit(-2).cast("long"), lambda n, b: n + F.length(b["text"]) + 2)
+    lists = F.array_distinct(F.filter(F.transform("blocks", lambda b: b["list_group_id"]), lambda x: x.isNotNull()))
+    group = F.when(F.size("lists") == 1, F.element_at("lists", 1)).when(F.size("lists") > 1, F.sha1(F.array_join("lists", ":")))
+    text = F.btrim(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"), F.lit(STRIPPED))
+    one = F.array(F.struct(
+        F.lit(0).alias("window_index"), text.alias("text"), F.element_at("blocks", 1)["span_start"].alias("span_start"), F.element_at("blocks", -1)["span_end"].alias("span_end"),
+        group.alias("list_group_id"), F.exists("blocks", lambda b: b["checklist"]).alias("contains_checklist"),
+    ))
+    fold = F.udf(lambda blocks: None if blocks is None else list(windows_of(b.asDict() for b in blocks)), f"array<struct<{WINDOWS.replace(' ', ': ').replace(',:', ',')}>>")
+    rows = sections.withColumns({"fits": size <= LIMIT, "lists": lists})
+    rows = rows.withColumn("folded", fold(F.when(~F.col("fits"), F.col("blocks"))))
+    windows = rows.select(*kept, F.inline(F.when(F.col("fits"), one).otherwise(F.col("folded"))))
     named = F.startswith("text", F.col("section_title"))
     return windows.withColumn("text", F.when(named, F.col("text")).otherwise(normalised_space(F.concat_ws("\n", "section_title", "text"))))
 
@@ -225,7 +247,7 @@ def chunk_rows(files: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hashes of document, section and text, so they stay as long as these do. Lengths and spans count code points.
     """
     sections = section_blocks(section_lines(files, key, text), key)
-    rows = section_windows(sections, key).join(files.select(key, "title", "name", "path", "mode", "source_type", "source_role", "document_group", "chunk_policy", "effective_date"), key)
+    rows = section_windows(sections.join(files.select(key, "title", "name", "path", "mode", "source_type", "source_role", "document_group", "chunk_policy", "effective_date"), key), key)
     trail = F.array_join("section_path", ">")
     rows = rows.withColumn("section_id", F.sha1(F.concat_ws(":", key, trail, "line_start", "line_end")))
     rows = rows.withColumn("embedding_input", embedding_input(F.col("title"), F.col("section_title"), F.col("section_path"), F.col("article_no"), F.col("text")))

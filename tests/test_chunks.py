@@ -94,6 +94,19 @@ def test_chunk_rows_of_odd_files(spark):
     assert context["n"] == 2 and context["context"].count("\n\n---\n\n") == 1 and "Article: 제2조" in context["context"]
 
 
+def test_lines_are_cut_once_and_short_sections_need_no_fold(spark):
+    rng = random.Random(3)
+    signs = ("a", "단, 3일 이내", "\u00a0", " \u3000", "\t", "- x", "- y", "| a |", "", "", "\r", "# h", "제1조 z", "w" * 700, "v " * 900, "\ufeff")
+    files = made(spark, ["\n".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(40)])
+    plan = C.chunk_rows(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1 and plan.count("collect_list(") == 1
+    sections = C.section_blocks(C.section_lines(files))
+    expected = {(r["doc_id"], r["section_no"], *w[:1], *w[2:], w[1] in r["content"] or None) for r in sections.collect() for w in C.windows_of(b.asDict() for b in r["blocks"])}
+    rows = C.section_windows(sections.withColumn("section_title", F.lit(""))).join(sections.select("doc_id", "section_no", "content"), ["doc_id", "section_no"]).collect()
+    got = {(r["doc_id"], r["section_no"], r["window_index"], r["span_start"], r["span_end"], r["list_group_id"], r["contains_checklist"], r["text"] in r["content"] or None) for r in rows}
+    assert got == expected and len(got) == len(rows) and {w for _, _, w, *_ in got} > {0, 1}
+
+
 def random_lists(spark, seed):
     rng = random.Random(seed)
     rows = [(d * 100 + w, d, d * 10 + w // 4, w, "x" * rng.choice((10, 300, 690, 900, 1500)) + rng.choice(("alpha", "beta", "gamma", "alphabeta", "")), rng.choice([*X.ROLE_POINTS, "general"]), [rng.choice(X.LABEL_POINTS)[0]], f"t{d % 4}", None if w % 2 else f"a{w % 3}", f"s{w // 4}") for d in range(12) for w in range(9)]
