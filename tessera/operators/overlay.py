@@ -15,6 +15,9 @@ from tessera.operators.index import idf, postings
 from tessera.operators.manifest import latest
 from tessera.operators.retrieval import query_tokens, ranked
 from tessera.sources.snapshots import Snapshots
+from tessera.sources.tables import stored
+
+UNIT = 1e17
 
 
 def current(changes: DataFrame) -> DataFrame:
@@ -27,10 +30,15 @@ def overlaid(base: DataFrame, delta: DataFrame) -> DataFrame:
     return base.select("doc_id", "text").join(delta.select("doc_id"), "doc_id", "left_anti").unionByName(delta.filter("text IS NOT NULL").select("doc_id", "text"))
 
 
-def frequency_change(posted: DataFrame, delta: DataFrame) -> DataFrame:
-    """(token, change): what delta does to the document frequencies of posted, the base's postings (doc_id, token, n_tokens)."""
+def added(delta: DataFrame) -> DataFrame:
+    """The postings of delta's own texts."""
+    return postings(delta.filter("text IS NOT NULL"), "doc_id", "text")
+
+
+def frequency_change(posted: DataFrame, delta: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """(token, change): what delta does to the document frequencies of posted, the base's postings (doc_id, token, n_tokens); new: ``added``, where it is there already."""
     gone = posted.join(delta.select("doc_id"), "doc_id", "left_semi").select("token", F.lit(-1).alias("d"))
-    new = postings(delta.filter("text IS NOT NULL"), "doc_id", "text").select("token", F.lit(1).alias("d"))
+    new = (added(delta) if new is None else new).select("token", F.lit(1).alias("d"))
     return gone.unionByName(new).groupBy("token").agg(F.sum("d").alias("change")).filter("change <> 0")
 
 
@@ -40,18 +48,28 @@ def frequencies(df: DataFrame, change: DataFrame) -> DataFrame:
     return both.filter("df > 0")
 
 
-def posted_after(posted: DataFrame, delta: DataFrame) -> DataFrame:
+def posted_after(posted: DataFrame, delta: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """The postings after a change."""
-    return posted.join(delta.select("doc_id"), "doc_id", "left_anti").unionByName(postings(delta.filter("text IS NOT NULL"), "doc_id", "text"))
+    return posted.join(delta.select("doc_id"), "doc_id", "left_anti").unionByName(added(delta) if new is None else new)
+
+
+def asked_for(posted: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings, or frequencies, of tokens that a query holds."""
+    return posted.join(query_tokens(queries).select("token").distinct(), "token", "left_semi")
 
 
 def search(posted: DataFrame, df: DataFrame, n: int, queries: DataFrame, k: int = 24) -> DataFrame:
     """The k best texts of each query by TF-IDF, from postings, frequencies and the number of texts: ``retrieval.lexical``'s lists.
 
-    Only tokens that a query holds are looked at; a very common one is split by adaptive joins and its scores are summed before they are shuffled.
+    Only tokens that a query holds are looked at. A text's postings meet the weighted questions in one task, which ranks its texts
+    for each query before anything else is shuffled. Scores add up as whole numbers of 1e-17, so their order doesn't matter;
+    a text's score is at most the largest idf, which keeps sums within a long.
     """
-    asked = query_tokens(queries).distinct().join(df, "token")
-    met = posted.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum((idf(F.col("df"), F.lit(n)) / F.col("n_tokens")).cast("decimal(28,18)")).cast("double").alias("s"), F.count(F.lit(1)).alias("n_matched"))
+    weighted = query_tokens(queries).distinct().join(df, "token").select("token", "query_id", idf(F.col("df"), F.lit(n)).alias("weight"))
+    asked = stored(weighted, "overlay-questions")
+    own = asked_for(posted, queries).repartition("doc_id")
+    score = F.sum((F.col("weight") / F.col("n_tokens") * UNIT + 0.5).cast("long")) / UNIT
+    met = own.join(asked, "token").groupBy("query_id", "doc_id").agg(score.alias("s"), F.count(F.lit(1)).alias("n_matched"))
     return ranked(met.select("query_id", "doc_id", F.round("s", 9).alias("score"), "n_matched"), k, "score")
 
 

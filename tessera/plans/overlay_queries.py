@@ -21,7 +21,7 @@ def _state(spark, sf):
     changes = docs.filter("doc_id % 5 < 2 OR doc_id % 7 = 0")
     wrong = changes.select("doc_id", F.lit("words that do not count").alias("text"), F.lit(1).alias("seq"))
     delta = O.current(changes.selectExpr("doc_id", f"{_CHANGED} AS text", "2 AS seq").unionByName(wrong))
-    return base, stored(I.postings(base, "doc_id", "text"), "overlay-postings"), delta
+    return base, stored(I.postings(base, "doc_id", "text"), "overlay-postings"), stored(delta, "overlay-changes")
 
 
 def overlay_frequencies(spark, sf):
@@ -30,9 +30,12 @@ def overlay_frequencies(spark, sf):
 
 
 def overlay_lists(spark, sf):
+    """What follows the base's index looks at postings of tokens that a question holds alone."""
     base, posted, delta = _state(spark, sf)
-    df = O.frequencies(I.document_frequency(posted), O.frequency_change(posted, delta))
-    return O.search(O.posted_after(posted, delta), df, O.overlaid(base, delta).count(), Q._questions(spark, sf))
+    asked = Q._questions(spark, sf)
+    own, new = O.asked_for(posted, asked), stored(O.asked_for(O.added(spread(delta)), asked), "overlay-added")
+    df = O.frequencies(I.document_frequency(own), O.frequency_change(own, delta, new))
+    return O.search(O.posted_after(own, delta, new), df, O.overlaid(base, delta).count(), asked)
 
 
 QUERIES = {f.__name__: f for f in (overlay_frequencies, overlay_lists)}

@@ -235,3 +235,17 @@ def test_lists_pass_the_texts_once(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "question_index", lambda *a: made.append(1) or own(*a))
     out = rule_queries.miss_classes(spark, folder)
     assert len(made) == 1 and "MapInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_overlay_search_shuffles_no_pairs_of_query_and_text(spark):
+    import re
+
+    from tessera.operators import index, overlay, retrieval
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 17}" for j in range(1, 2 + k % 9))) for k in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w5 none w1"), (3, "")], "query_id long, question string")
+    posted = index.postings(docs, "doc_id", "text")
+    got = overlay.search(posted, index.document_frequency(posted), 60, asked)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, doc_id#", got._jdf.queryExecution().executedPlan().toString())
+    columns = ("query_id", "doc_id", "score", "n_matched", "rank")
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, retrieval.lexical(docs, asked).select(*columns).collect()))
