@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.automaton import occurrences
-from tessera.functions.text import title_key, whole
+from tessera.functions.text import BLANKS, as_sql, lowered, title_key, whole
 
 # --- fixed values: scores, words and patterns that decide results -------------------------------
 SOURCE_SCORES = {"benchmark-question": 1.0, "heading": 0.9, "qa-question": 0.85, "benchmark-expected-doc": 0.8, "document-title": 0.75, "file-title": 0.7}
@@ -24,30 +24,31 @@ SHORTEST, LONGEST, MOST_WORDS = 3, 90, 12
 def clean_alias(text: Column) -> Column:
     out = whole(text)
     for pattern, by in CLEANING:
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+        out = F.regexp_replace(out, as_sql(pattern), by)
+    return F.btrim(out, F.lit(BLANKS))
 
 
 def compact_alias(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, COMPACT, ""))
+    return lowered(F.regexp_replace(text, as_sql(COMPACT), ""))
 
 
-def is_useful(alias: Column) -> Column:
-    """Long enough, not a number, year or address, not a sentence."""
-    dense = compact_alias(alias)
-    return (F.length(dense) >= SHORTEST) & ~dense.rlike("^[0-9]+$") & ~dense.rlike("^20[0-9]{2}년?$") & ~alias.rlike("(?i)https?://") & (F.length(alias) <= LONGEST) & (F.size(F.split(alias, r"\s+")) <= MOST_WORDS)
+def is_useful(alias: Column, dense: Column | None = None) -> Column:
+    """Long enough, not a number, year or address, not a sentence; ``dense`` is the alias's compact form, where it is there already."""
+    dense = compact_alias(alias) if dense is None else dense
+    return (F.length(dense) >= SHORTEST) & ~dense.rlike(as_sql("^[0-9]+$")) & ~dense.rlike(as_sql("^20[0-9]{2}년?$")) & ~alias.rlike("(?iu)https?://") & (F.length(alias) <= LONGEST) & (F.size(F.split(alias, as_sql(r"\s+"))) <= MOST_WORDS)
 
 
 def questions_in(text: Column) -> Column:
     """The questions of lines that begin as one, as they stand: candidates are cleaned once, where all sources meet; a second cleaning takes off one more number in front."""
-    lines = F.filter(F.split(whole(text), "\r?\n", -1), lambda x: x.rlike(QUESTION))
-    asked = F.transform(lines, lambda x: F.concat_ws(" ", F.nullif(F.regexp_extract(x, QUESTION, 1), F.lit("")), F.nullif(F.regexp_extract(x, QUESTION, 2), F.lit(""))))
+    question = as_sql(QUESTION)
+    lines = F.filter(F.split(whole(text), "\n", -1), lambda x: x.rlike(question))
+    asked = F.transform(lines, lambda x: F.concat_ws(" ", F.nullif(F.regexp_extract(x, question, 1), F.lit("")), F.nullif(F.regexp_extract(x, question, 2), F.lit(""))))
     return F.filter(asked, lambda q: q != "")
 
 
 def title_fragments(title: Column) -> Column:
     """The parts of a clean title that can stand for it: useful ones that aren't noise, of four characters or two of Hangul."""
-    parts = F.transform(F.split(title, FRAGMENT_CUT, -1), clean_alias)
+    parts = F.transform(F.split(title, as_sql(FRAGMENT_CUT), -1), clean_alias)
     return F.filter(parts, lambda p: is_useful(p) & ~p.isin(*TITLE_NOISE) & ((F.length(p) >= 4) | p.rlike("[가-힣]{2,}")))
 
 
@@ -72,19 +73,22 @@ def candidates(files: DataFrame, chunks: DataFrame, cases: DataFrame | None = No
     own = files.filter("doc_id IS NOT NULL").select("doc_id", clean_alias(F.col("name")).alias("canonical"), F.col("name").alias("file_name"), "path")
     row = lambda alias, source, evidence: F.struct(alias.alias("alias"), F.lit(source).alias("source"), evidence.cast("string").alias("evidence"))
     c = F.col
+    # cleaned before they are rows: a filter on the rows reads the alias, where it would clean a projected one once for each test
+    plain = lambda parts: F.transform(parts, lambda x: F.struct(clean_alias(x["alias"]).alias("alias"), x["source"].alias("source"), x["evidence"].alias("evidence")))
+    listed = lambda parts: F.posexplode_outer(F.transform(plain(parts), lambda x: x.withField("key", compact_alias(x["alias"])))).alias("k", "c")
     title = F.concat(F.lit("title-fragment:"), c("canonical"))
-    of_files = own.select("doc_id", F.lit(0).alias("part"), F.lit("").alias("order"), F.posexplode(F.concat(F.array(row(c("file_name"), "file-title", c("path"))), F.transform(title_fragments(c("canonical")), lambda p: row(p, "heading", title)))).alias("k", "c"))
+    of_files = own.select("doc_id", F.lit(0).alias("part"), F.lit("").alias("order"), listed(F.concat(F.array(row(c("file_name"), "file-title", c("path"))), F.transform(title_fragments(c("canonical")), lambda p: row(p, "heading", title)))))
     many = lambda values, source: F.transform(values, lambda v: row(v, source, c("chunk_id")))
     trail = F.coalesce(F.slice("section_path", 2, 1_000_000), F.array().cast("array<string>"))
     told = F.concat(F.array(row(c("title"), "document-title", c("chunk_id")), row(c("section_title"), "heading", c("chunk_id"))), many(trail, "heading"), many(questions_in(c("text")), "qa-question"))
-    of_chunks = chunks.select("doc_id", F.lit(1).alias("part"), c("chunk_id").cast("string").alias("order"), F.posexplode(told).alias("k", "c")).join(own.select("doc_id"), "doc_id", "left_semi")
+    of_chunks = chunks.select("doc_id", F.lit(1).alias("part"), c("chunk_id").cast("string").alias("order"), listed(told)).join(own.select("doc_id"), "doc_id", "left_semi")
     rows = of_files.unionByName(of_chunks)
     if cases is not None:
         met = cases.join(expected_documents(cases, files), "case_id")
-        rows = rows.unionByName(met.select("doc_id", F.lit(2).alias("part"), c("case_id").cast("string").alias("order"), F.posexplode(F.array(row(c("expected"), "benchmark-expected-doc", c("case_id")), row(c("question"), "benchmark-question", c("case_id")))).alias("k", "c")))
+        rows = rows.unionByName(met.select("doc_id", F.lit(2).alias("part"), c("case_id").cast("string").alias("order"), listed(F.array(row(c("expected"), "benchmark-expected-doc", c("case_id")), row(c("question"), "benchmark-question", c("case_id"))))))
     score = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_SCORES.items() for x in kv]), c("source"))
-    clean = rows.select("doc_id", F.struct("part", "order", "k").alias("turn"), clean_alias(c("c.alias")).alias("alias"), "c.source", "c.evidence").filter(is_useful(c("alias"))).withColumn("score", score)
-    best = clean.groupBy("doc_id", compact_alias(c("alias")).alias("key")).agg(F.min(F.struct((-c("score")).alias("minus"), "turn", "alias", "source", "evidence")).alias("b"))
+    clean = rows.select("doc_id", F.struct("part", "order", "k").alias("turn"), "c.alias", "c.key", "c.source", "c.evidence").filter(is_useful(c("alias"), c("key"))).withColumn("score", score)
+    best = clean.groupBy("doc_id", "key").agg(F.min(F.struct((-c("score")).alias("minus"), "turn", "alias", "source", "evidence")).alias("b"))
     return best.join(own.select("doc_id", "canonical"), "doc_id").select("doc_id", "canonical", "b.alias", "key", "b.source", (-c("b.minus")).alias("score"), "b.evidence")
 
 

@@ -261,6 +261,30 @@ def test_alias_questions_are_cleaned_once(spark):
     assert found == {("7.6.143 Aton total?", "76143atontotal?"), ("4) rest of it?", "4restofit?")}
 
 
+def test_alias_patterns_read_as_sql_does(spark):
+    import duckdb
+
+    from tessera.functions.text import title_key
+    from tessera.operators import aliases
+    from tessera.plans import alias_queries as Q
+
+    raws = [
+        "on les oipa éenc", "encé reste", "Enc x", "x enc_", "\u00a0wide\u3000", "a\u000bb c", "name.md\u2028", "name.md\r", "ΟΔΟΣ ΟΔΟΣ", "İSTANBUL.MD", "123\u2028", "2024\u0085", "1 2 3 4 5 6 7 8 9 0 1 2\u000b3", "httpſ://x", "q: wha\u2028t? so", "Q: a\r\nQ: b.md\r", "질문：é? x", "ab", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    alias = aliases.clean_alias(F.col("raw"))
+    asked = F.transform(aliases.questions_in(F.col("raw")), aliases.clean_alias)
+    got = [tuple(r) for r in rows.select("id", alias.alias("a"), aliases.compact_alias(alias).alias("k"), aliases.is_useful(alias).alias("ok"), title_key(F.col("raw")).alias("t"), F.array_join(asked, "|").alias("q")).orderBy("id").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rows_ (id INT, raw VARCHAR)")
+    con.executemany("INSERT INTO rows_ VALUES (?, ?)", list(enumerate(raws)))
+    question = f"concat_ws(' ', nullif(regexp_extract(l, '{aliases.QUESTION}', 1), ''), nullif(regexp_extract(l, '{aliases.QUESTION}', 2), ''))"
+    asked = f"array_to_string(list_transform(list_filter(list_transform(list_filter(string_split(raw, chr(10)), lambda l: regexp_matches(l, '{aliases.QUESTION}')), lambda l: {question}), lambda l: l <> ''), lambda l: {Q._clean('l')}), '|')"
+    want = con.execute(f"SELECT id, a, k, {Q._USEFUL.format('a', 'k')}, {Q._KEY.format('raw')}, {asked} FROM (SELECT *, {Q._DENSE.format('a')} AS k FROM (SELECT *, {Q._clean('raw')} AS a FROM rows_)) ORDER BY id").fetchall()
+    assert got == want
+    assert [r[1] for r in got[:5]] == ["on les oipa é", "é reste", "x", "x", "wide"] and got[8][2] == "οδοσοδοσ"
+
+
 def test_profiles_and_gates(spark):
     from tessera.operators import grounding as G
 
