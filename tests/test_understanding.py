@@ -154,6 +154,27 @@ def test_expansion_stops_at_candidates_and_splits_hubs(spark):
     assert {(r["node"], r["salts"]) for r in hubs.collect()} == {("concept:hub", 31)} and edges_.filter("node = 'concept:hub'").groupBy("salt").count().agg(F.max("count")).first()[0] < 40
 
 
+def test_expansion_reads_what_it_starts_from_once(spark):
+    from tessera.operators import ontology as O
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    nodes = ["document:a", "concept:x", "concept:y"]
+    tables = {
+        "entities": spark.createDataFrame([(e, e.split(":")[0], None) for e in nodes], "entity_id string, entity_type string, status string"),
+        "bindings": spark.createDataFrame([(e, k) for k, e in enumerate(nodes)], "entity_id string, doc_id long"),
+        "edges": spark.createDataFrame([(a, b, "r", 1.0) for a, b in zip(nodes, nodes[1:], strict=False)], "src string, dst string, relation string, weight double"),
+    }
+    anchors = spark.createDataFrame([(7, 0)], "query_id long, doc_id long").mapInPandas(counted, "query_id long, doc_id long")
+    got = O.expand(spark.createDataFrame([], "query_id long, entity_id string, score double"), anchors, tables, depth=3)
+    assert {tuple(r) for r in got.collect()} == {(7, 0, 3.0), (7, 1, 9.0), (7, 2, 3.0)} and read.value == 1
+
+
 def test_claim_support_equals_all_pairs(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcde") for _ in range(3))
