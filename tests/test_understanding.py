@@ -229,6 +229,28 @@ def test_retrieval_issues(spark):
     assert counts == {0: (3, 1, 0, 2), 1: (1, 0, 1, 0)}
 
 
+def test_retrieval_issues_read_whole_texts(spark, monkeypatch):
+    from tessera.plans import claim_queries as P
+
+    kind = "chunk_id string, title string, section_title string, labels string, search_text string, text_preview string, text string, source_type string, mode string, source_role string, article_no string"
+    chunks = spark.createDataFrame([("b", "x", "x", "", "beginning", "beginning", "beginning " * 300 + "주야간보호", "manual", "integrated", "general", None), ("c", "x", "x", "", "beginning", "", None, "manual", "integrated", "general", None)], kind)
+    assert {r["chunk_id"]: r["held"] for r in chunks.select("chunk_id", C.held_scopes().alias("held")).collect()} == {"b": ["day-night-care"], "c": []}
+    own, hits, slots, frames, requests = framed(spark, "방문요양 3등급 본인부담금 비용")
+    claims = C.claim_plan(frames, slots, U.variants(own, U.entities(own, hits, slots), slots, requests), requests)
+    evidence = spark.createDataFrame([(0, "b"), (0, "c")], "query_id long, chunk_id string")
+    support = C.claim_support(claims, chunks, evidence)
+    rules = spark.createDataFrame([], "rule_id string, intents array<string>, slots array<string>, buckets map<string,int>, relations array<string>")
+    found = {(r["query_id"], r["code"], r["subject"]) for r in C.retrieval_issues(frames, claims, C.claim_coverage(claims, support), support, evidence, chunks, rules, requests).collect()}
+    assert (0, "mixed-service-scope", "1") in found
+    # the query hands on every window of its documents, with all of its text
+    passed = []
+    monkeypatch.setattr(P.C, "retrieval_issues", lambda frames, claims, coverage, support, evidence, chunks, rules, requests: passed.append((evidence, chunks)) or frames)
+    P.retrieval_issues(spark, "/root/testdata/sf0.01")
+    evidence, chunks = passed[0]
+    assert evidence.groupBy("query_id").count().count() > 1 and evidence.join(chunks, "chunk_id").filter("window_index >= 3").count() > 0
+    assert chunks.filter("NOT search_text <=> text").count() == 0 and chunks.filter("length(search_text) > 600").count() > 0
+
+
 def test_numbers_and_citations(spark):
     answers = spark.createDataFrame([(1, "1,234원 15% 3.5 15"), (2, "none"), (3, None), (4, "7")], "answer_id long, text string")
     cited = spark.createDataFrame([(1, "1234 and 15%"), (1, "3,5"), (4, "77 17"), (9, "7")], "answer_id long, text string")
